@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -126,23 +127,25 @@ def round_half_even(col: Column, digits: int = 0) -> Column:
     return F.rint(col) if digits == 0 else F.bround(col, digits)
 
 
+def array_total(arrays: Sequence[Column]) -> Column:
+    """Element-wise sum of several arrays."""
+    return reduce(lambda total, part: F.zip_with(total, part, lambda a, b: a + b), arrays)
+
+
 def blend(probs: Sequence[Column], weights: Sequence[float]) -> Column:
     """Weighted element-wise sum of probability arrays."""
     if len(probs) != len(weights):
         raise ValueError("one weight per probability column")
-    scaled = [F.transform(p, lambda x, w=w: x * F.lit(float(w))) for p, w in zip(probs, weights)]
-    total = scaled[0]
-    for part in scaled[1:]:
-        total = F.zip_with(total, part, lambda a, b: a + b)
-    return total
+
+    def scaled(prob: Column, weight: float) -> Column:
+        return F.transform(prob, lambda x: x * F.lit(float(weight)))
+
+    return array_total([scaled(p, w) for p, w in zip(probs, weights)])
 
 
 def blend_mean(probs: Sequence[Column]) -> Column:
     """Element-wise mean of probability arrays."""
-    total = probs[0]
-    for part in probs[1:]:
-        total = F.zip_with(total, part, lambda a, b: a + b)
-    return F.transform(total, lambda x: x / F.lit(float(len(probs))))
+    return F.transform(array_total(probs), lambda x: x / F.lit(float(len(probs))))
 
 
 def ordinal_vote(probs: Sequence[Column]) -> Column:

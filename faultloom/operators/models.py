@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
+from functools import partial
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -106,13 +107,15 @@ CATEGORICAL_INPUTS = {
 
 # --- one multi-class boosted model ------------------------------------------------------------
 
-def _parallel(task: Callable, items: Sequence, threads: int) -> list:
+def _parallel(session: SparkSession, task: Callable, items: Sequence, threads: int) -> list:
     """Run independent fits from driver threads; the work itself is on Spark."""
     if threads <= 1 or len(items) <= 1:
         return [task(item) for item in items]
-    session = SparkSession.getActiveSession()
+    # wrapped one by one: each fit gets its own copy of the job properties
+    inherit = inheritable_thread_target(session)
+    calls = [inherit(partial(task, item)) for item in items]
     with ThreadPool(min(threads, len(items))) as pool:
-        return pool.map(inheritable_thread_target(session)(task), items)
+        return pool.map(lambda call: call(), calls)
 
 
 def fit_boosted(
@@ -127,13 +130,13 @@ def fit_boosted(
     def one(c: int) -> GBTClassificationModel:
         estimator = GBTClassifier(
             featuresCol=FEATURES, labelCol="_is_class", predictionCol=f"_pred_{c}",
-            rawPredictionCol=f"_raw_{c}", probabilityCol=f"_prob_{c}",
             maxDepth=settings.depth, maxIter=settings.rounds, stepSize=settings.step,
             subsamplingRate=settings.rows, featureSubsetStrategy=settings.columns,
             minInstancesPerNode=settings.min_rows, minInfoGain=settings.min_gain,
             validationTol=settings.tolerance, seed=settings.seed, maxBins=settings.bins,
-            checkpointInterval=10, cacheNodeIds=True,
+            checkpointInterval=10,
         )
+        estimator.setRawPredictionCol(f"_raw_{c}").setProbabilityCol(f"_prob_{c}")
         if weight:
             estimator.setWeightCol(weight)
         if valid:
@@ -142,7 +145,7 @@ def fit_boosted(
         target = (F.col(label) == c).cast("double").alias("_is_class")
         return estimator.fit(rows.select(*kept, target))
 
-    return PipelineModel(_parallel(one, range(classes), threads))
+    return PipelineModel(_parallel(rows.sparkSession, one, range(classes), threads))
 
 
 def predict_boosted(model: PipelineModel, rows: DataFrame, prob: str = "prob") -> DataFrame:
@@ -235,7 +238,7 @@ def cv_train(
         )
         return fit_boosted(marked, settings, "_valid", "_weight")
 
-    models = _parallel(one, range(k), threads)
+    models = _parallel(rows.sparkSession, one, range(k), threads)
     return CrossValidation(settings.name, models, out_of_fold(rows, models, keys))
 
 
@@ -269,9 +272,7 @@ def cv_predict(
     parts = [F.col(f"_fold_{i}") for i in range(len(models))]
     if how == "mean" and divisor is None:
         divisor = len(models)
-    total = parts[0]
-    for part in parts[1:]:
-        total = F.zip_with(total, part, lambda a, b: a + b)
+    total = fx.array_total(parts)
     if divisor:
         total = F.transform(total, lambda x: x / F.lit(float(divisor)))
     return scored.withColumn(prob, total).select(*rows.columns, prob)
@@ -316,7 +317,7 @@ def categorical_train(
     def one(fold: int) -> PipelineModel:
         return fit_boosted(fd.training_rows(weighted, fold), settings, weight="weight")
 
-    models = _parallel(one, range(k), threads)
+    models = _parallel(rows.sparkSession, one, range(k), threads)
 
     def scored(pick: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
         parts = [

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as fx
 
+LOGIT_SCALE = 10.0
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -68,10 +70,13 @@ def submit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three models' class probabilities per row, from embedding elements."""
+    """Three models' class probabilities per row, from embedding elements. The
+    elements are small, so they are scaled to give confident rows too."""
     emb = table(spark, sf_dir, "embeddings")
     logits = {
-        f"logit_{m}": F.transform(F.slice("embedding", 1 + 4 * i, 4), lambda x: x.cast("double"))
+        f"logit_{m}": F.transform(
+            F.slice("embedding", 1 + 4 * i, 4), lambda x: x.cast("double") * LOGIT_SCALE
+        )
         for i, m in enumerate("abc")
     }
     frame = emb.select(
