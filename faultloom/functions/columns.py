@@ -42,7 +42,8 @@ def epoch_seconds(col: Column) -> Column:
 
 def epoch_micros(col: Column) -> Column:
     """Microseconds since 1970 of a zone-free timestamp."""
-    fraction = (F.date_part(F.lit("SECOND"), col) * 1000000).cast("long") % 1000000
+    # zone offsets are whole seconds, so the fraction is the same in any zone
+    fraction = F.pmod(F.unix_micros(col.cast("timestamp")), F.lit(1000000))
     return epoch_seconds(col) * 1000000 + fraction
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as fx
+from ..sources import readers
 
 LOGIT_SCALE = 10.0
 
@@ -96,4 +97,5 @@ def labelled_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = f"{sf_dir.rstrip('/')}/documents.parquet"
+    return readers.read_spread(spark, path).select("doc_id", "text")

@@ -87,6 +87,15 @@ def sort_logs(logs: DataFrame) -> DataFrame:
     return logs.orderBy("sn", "time", "ord")
 
 
+def read_spread(spark: SparkSession, path: str) -> DataFrame:
+    """A parquet table for heavy per-row work: if it comes in fewer splits than
+    there are cores, its rows are dealt out first. Large tables have more splits
+    than cores and are left alone."""
+    rows = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def read_features(
     spark: SparkSession, path: str, features: Sequence[str], label: str = "label",
     keys: Sequence[str] = (),
