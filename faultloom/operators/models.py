@@ -166,7 +166,7 @@ def staged_metric(
     values = []
     for c, stage in enumerate(model.stages):
         target = rows.withColumn(stage.getLabelCol(), (F.col(label) == c).cast("double"))
-        losses = stage.evaluateEachIteration(target, "logistic")
+        losses = stage.evaluateEachIteration(target)
         values += [(c, i + 1, float(loss)) for i, loss in enumerate(losses)]
     return spark.createDataFrame(values, "class int, round int, loss double")
 

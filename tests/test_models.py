@@ -1,0 +1,185 @@
+import random
+from collections import Counter
+from dataclasses import replace
+
+import pytest
+from pyspark.sql import functions as F
+
+from faultloom.functions import columns as fx
+from faultloom.operators import folds as fd
+from faultloom.operators import models as md
+from faultloom.operators import scores as sc
+from faultloom.plans import ensembles, features, pipeline
+from faultloom.session import materialize
+
+from helpers import fault_table, log_table
+
+FAST = {s.name: replace(s, rounds=2, depth=3, min_rows=1) for s in md.ENSEMBLE}
+K = 3
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    """Four classes that one feature nearly gives away."""
+    rng = random.Random(4)
+    data = []
+    for i in range(240):
+        label = rng.choice([0, 0, 1, 2, 3])
+        data.append((i, label, [label + rng.gauss(0, 0.2), rng.random()]))
+    df = spark.createDataFrame(data, "row_id long, label int, x array<double>")
+    df = md.assemble(df, arrays=["x"]).select("row_id", "label", "x", md.FEATURES)
+    return materialize(fd.stratified_folds(df, k=K))
+
+
+@pytest.fixture(scope="module")
+def trained(rows):
+    return md.cv_train(rows, FAST["a"], K)
+
+
+def score(scored, prob="prob"):
+    return sc.weighted_macro_f1(
+        scored.withColumn("predict", fx.argmax(F.col(prob))), "label", "predict").first()[0]
+
+
+def test_out_of_fold_covers_each_row_once_and_beats_the_majority(rows, trained):
+    oof = materialize(trained.oof)
+    assert oof.count() == 240 and oof.select("row_id").distinct().count() == 240
+    sums = oof.select(fx.array_sum(F.col("prob")).alias("s")).agg(F.min("s"), F.max("s")).first()
+    assert sums[0] == pytest.approx(1) and sums[1] == pytest.approx(1)
+    majority = score(rows.withColumn("prob", F.array(*[F.lit(float(v)) for v in (1, 0, 0, 0)])))
+    assert score(oof) > max(0.8, majority)
+    table = {r["fold"]: r["macro_f1"] for r in trained.scores().collect()}
+    assert set(table) == {None, 0, 1, 2}
+    assert table[None] == pytest.approx(score(oof))
+
+
+def test_models_come_back_from_storage(rows, trained, tmp_path):
+    md.save_models(trained.models, str(tmp_path), "a")
+    again = md.out_of_fold(rows, md.load_models(str(tmp_path), "a", K))
+    key = lambda df: {r["row_id"]: r["prob"] for r in df.collect()}
+    assert key(again) == key(trained.oof)
+
+
+def test_prediction_is_the_mean_of_the_fold_models(rows, trained):
+    parts = [
+        {r["row_id"]: r["prob"] for r in md.predict_boosted(m, rows).collect()} for m in trained.models
+    ]
+    mean = {r["row_id"]: r["prob"] for r in md.cv_predict(rows, trained.models).collect()}
+    total = {r["row_id"]: r["prob"] for r in
+             md.cv_predict(rows, trained.models, how="sum", divisor=2).collect()}
+    for i in (0, 17, 239):
+        assert mean[i] == pytest.approx([sum(p[i][c] for p in parts) / K for c in range(4)])
+        assert total[i] == pytest.approx([sum(p[i][c] for p in parts) / 2 for c in range(4)])
+
+
+def test_staged_metrics(rows, trained):
+    valid = fd.validation_rows(rows, 0)
+    losses = md.staged_metric(trained.models[0], valid).collect()
+    assert {r["class"] for r in losses} == {0, 1, 2, 3}
+    staged = {r["round"]: r["macro_f1"] for r in md.staged_macro_f1(trained.models[0], valid).collect()}
+    # the last round is the model itself, up to the scaling to probabilities
+    assert max(staged) <= 2 and all(0 <= v <= 1 for v in staged.values())
+
+
+def test_categorical_inputs(spark, rows):
+    kinds = rows.withColumn("kind", ((F.col("label") * 7) % 5 + 30).cast("int"))
+    # null and unknown categories are kept
+    kinds = kinds.withColumn("kind", F.when(F.col("row_id") == 3, None).otherwise(F.col("kind")))
+    ready = md.assemble(kinds.drop(md.FEATURES), ["kind"], categorical={"kind": 35})
+    run = md.categorical_train(ready, replace(FAST["a"], rows=1.0, columns="all"), K)
+    got = {r["part"]: r["macro_f1"] for r in run.pooled_f1().collect()}
+    assert got["valid"] > 0.9 and got["train"] > 0.9
+    predicted = md.categorical_predict(ready, run.models)
+    assert predicted.filter("predict = label").count() > 230
+
+
+def test_assemble_fills_nulls(spark):
+    df = spark.createDataFrame([(None, 2)], "a int, b int")
+    assert list(md.assemble(df, ["a", "b"]).first()[md.FEATURES]) == [-1.0, 2.0]
+
+
+def test_pseudo_labels(rows):
+    unlabelled = rows.select((F.col("row_id") + 1000).alias("row_id"), md.FEATURES)
+    run = ensembles.pseudo_label_train(rows, unlabelled, FAST["b"], FAST["a"], divisor=1.0, k=K)
+    picked = run.pseudo.collect()
+    assert picked and {r["label"] for r in picked} <= {0, 1}
+    oof = run.oof.collect()
+    assert Counter(r["row_id"] for r in oof) == Counter(range(240))
+    assert run.score().first()[0] > 0.7
+
+
+def test_stacking(rows):
+    run = ensembles.stacking_train(rows, [FAST["a"], FAST["b"]], replace(FAST["a"], name="stacker"), k=K)
+    assert run.final.oof.count() == 240
+    assert {r["model"] for r in run.scores().collect()} == {"a", "b", "stacker"}
+    assert run.final.models[0].stages[0].numFeatures == 2 + 2 * 4
+
+
+def test_generic_stacker(rows):
+    new = rows.select("row_id", md.FEATURES)
+    got = ensembles.Stacker([FAST["a"]], FAST["b"], K).fit_predict(rows.drop("fold"), new)
+    assert got.join(rows, "row_id").filter("predict = label").count() > 200
+
+
+def test_mlp(rows):
+    run = md.mlp_train(rows, "x", hidden=(8,), epochs=40, solver="l-bfgs")
+    assert run.validation.count() == sum(
+        round(n * 0.25) for n in Counter(r["label"] for r in rows.collect()).values())
+    assert run.score().first()[0] > 0.6
+
+
+# --- from tables to predictions ----------------------------------------------------------------
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    """Servers whose message category tells the fault class."""
+    rng = random.Random(8)
+    heads = ["Memory", "Drive", "Processor", "System"]
+    logs, faults = [], []
+    for s in range(60):
+        label = s % 4
+        for t in range(6):
+            head = heads[label] if rng.random() < 0.8 else rng.choice(heads)
+            logs.append((f"s{s}", 10 * t, f"{head} #{t} | state {rng.randrange(3)}", f"m{s % 3}"))
+        faults.append((f"s{s}", 45, label))
+        faults.append((f"s{s}", 25, label))
+    faults.append(("silent", 5, 0))
+    return faults, logs
+
+
+@pytest.mark.parametrize("version", ["v1", "v2"])
+def test_features_fit_and_apply_agree_on_the_same_faults(spark, tables, version, tmp_path):
+    ft, lt = fault_table(spark, tables[0]), log_table(spark, tables[1])
+    fitted, artifacts = features.fit_features(ft, lt, version)
+    artifacts.save(spark, str(tmp_path))
+    loaded = features.FeatureArtifacts.load(spark, str(tmp_path), version)
+    applied = features.apply_features(ft, lt, loaded)
+    key = lambda df: sorted(map(str, features.model_inputs(df, version).collect()))
+    assert key(fitted) == key(applied)
+    assert fitted.count() == 120  # the silent server has no row
+    scalars = features.FEATURES_V2 if version == "v2" else features.FEATURES_V1
+    assert len(scalars) == (23 if version == "v2" else 21)
+    assert len(artifacts.tfidf.terms) <= 100
+
+
+def test_train_evaluate_predict_from_files(spark, tables, tmp_path):
+    from faultloom.sources import readers, writers
+
+    faults, logs = tables
+    ft, lt = fault_table(spark, faults + faults[:5]), log_table(spark, logs)
+    paths = {n: str(tmp_path / n) for n in ("faults", "logs", "run", "out")}
+    writers.write_predictions(ft, paths["faults"])
+    writers.write_features(lt.drop("time_ts", "ord"), paths["logs"], "csv")
+    run = pipeline.train_files(
+        spark, paths["faults"], paths["logs"], paths["run"], [FAST["a"], FAST["b"], FAST["c"]])
+    assert run.features.count() == 120
+    board = {(r["model"], r["fold"]): r["macro_f1"]
+             for r in pipeline.evaluate(spark, paths["run"]).collect()}
+    models = ["a", "b", "c", "blend_equal2", "blend_equal3", "blend_weighted", "ordinal_vote"]
+    assert {m for m, _ in board} == set(models)
+    assert board[("blend_equal3", None)] > 0.8
+    trained = {(r["model"], r["fold"]): r["macro_f1"] for r in run.runs["a"].scores().collect()}
+    assert all(board[k] == pytest.approx(v) for k, v in trained.items())
+    pipeline.predict_files(spark, paths["faults"], paths["logs"], paths["run"], paths["out"])
+    out = readers.read_csv_union(spark, paths["out"], {"label": "double"}).collect()
+    assert len(out) == 120 and {r["label"] for r in out} <= {0.0, 1.0, 2.0, 3.0}
