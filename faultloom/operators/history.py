@@ -68,12 +68,12 @@ def running_totals(
     """For each fault the sum of every measure over the steps of its server up
     to its time. ``steps`` has ``sn, at_us`` and integer measures."""
     zero = {m: F.lit(0).cast("bigint") for m in measures}
-    # one row per instant first: copies of an instant combine on the map side
-    steps = (
-        plan.assign(steps)
-        .groupBy("sn", "slice", "at_us")
-        .agg(*[F.sum(m).cast("bigint").alias(m) for m in measures])
+    steps = plan.assign(steps).select(
+        "sn", "slice", "at_us", *[F.col(m).cast("bigint").alias(m) for m in measures]
     )
+    if plan.has_hot_servers:
+        # copies of one instant cannot be sliced apart: combine them on the map side
+        steps = steps.groupBy("sn", "slice", "at_us").agg(*[F.sum(m).alias(m) for m in measures])
     points = plan.assign(fault_points(faults)).drop("n_slices")
     fault_cols = [c for c in points.columns if c not in ("sn", "slice", "at_us")]
     events = points.withColumns({**zero, "is_fault": F.lit(True)}).unionByName(

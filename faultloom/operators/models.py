@@ -166,6 +166,8 @@ def staged_metric(
     values = []
     for c, stage in enumerate(model.stages):
         target = rows.withColumn(stage.getLabelCol(), (F.col(label) == c).cast("double"))
+        if stage.isSet("weightCol"):  # metrics count every row once
+            target = target.withColumn(stage.getWeightCol(), F.lit(1.0))
         losses = stage.evaluateEachIteration(target)
         values += [(c, i + 1, float(loss)) for i, loss in enumerate(losses)]
     return spark.createDataFrame(values, "class int, round int, loss double")
@@ -242,6 +244,18 @@ def cv_train(
     return CrossValidation(settings.name, models, out_of_fold(rows, models, keys))
 
 
+def fit_folds(
+    rows: DataFrame, settings: TreeSettings, k: int = fd.FOLDS, weight: str | None = None,
+    threads: int = fd.FOLDS,
+) -> list[PipelineModel]:
+    """One model per fold on the rows outside it, all rounds, no early stop."""
+
+    def one(fold: int) -> PipelineModel:
+        return fit_boosted(fd.training_rows(rows, fold), settings, weight=weight)
+
+    return _parallel(rows.sparkSession, one, range(k), threads)
+
+
 def out_of_fold(
     rows: DataFrame, models: Sequence[PipelineModel], keys: Sequence[str] = ("row_id",)
 ) -> DataFrame:
@@ -312,12 +326,7 @@ def categorical_train(
 ) -> CategoricalTraining:
     """Fold models on a ``features`` vector with categorical slots; every fold
     also scores its own training rows."""
-    weighted = with_weights(rows)
-
-    def one(fold: int) -> PipelineModel:
-        return fit_boosted(fd.training_rows(weighted, fold), settings, weight="weight")
-
-    models = _parallel(rows.sparkSession, one, range(k), threads)
+    models = fit_folds(with_weights(rows), settings, k, "weight", threads)
 
     def scored(pick: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
         parts = [

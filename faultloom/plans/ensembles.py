@@ -103,9 +103,7 @@ class Stacker:
         names = [f"_label_{s.name}" for s in self.base]
         meta, new_meta = rows.select(*keys, "label"), new_rows.select(*keys, md.FEATURES)
         for settings, name in zip(self.base, names):
-            models = [
-                md.fit_boosted(fd.training_rows(rows, fold), settings) for fold in range(self.k)
-            ]
+            models = md.fit_folds(rows, settings, self.k)
             oof = md.out_of_fold(rows, models, keys)
             own = oof.select(*keys, fx.argmax(F.col("prob")).cast("double").alias(name))
             meta = meta.join(own, list(keys))

@@ -34,7 +34,7 @@ FAULT = ["sn", "fault_time_ts", "label"]
 DIGITS = 6
 # Boosting rounds of the registered training queries: the largest number at
 # which the whole set still checks in minutes on one machine.
-QUICK = {s.name: replace(s, rounds=4, depth=3, min_rows=1) for s in md.ENSEMBLE}
+QUICK = {s.name: replace(s, rounds=3, depth=3, min_rows=1) for s in md.ENSEMBLE}
 
 
 def register(query: Query) -> Query:
