@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_SLICE = 50_000
+ROWS_PER_SLICE = 20_000
 MAX_SLICES = 200_000  # bound of the slice table, hence of what is broadcast
 CELL_MICROS = 60 * 1_000_000  # resolution of the cuts
 DAY_MICROS = 86_400 * 1_000_000
