@@ -57,25 +57,27 @@ def per_category(messages: DataFrame) -> DataFrame:
     """Per fault, server model and category: sums that everything else needs.
 
     Statistics of the fault as a whole (last and most frequent category, span)
-    ride along as window values over the fault, in the same partitioning.
+    ride along as window values over the fault. The window over the fault comes
+    first, so one exchange by fault serves every later step.
     """
-    cells = messages.groupBy(*SLICED_FAULT_KEY, "server_model", "category_id").agg(
+    fault = Window.partitionBy(*SLICED_FAULT_KEY)
+    category = Window.partitionBy(*SLICED_FAULT_KEY, "category_id")
+    last = F.max(F.struct("at_us", "ord", "category_id")).over(fault)
+    rows = messages.withColumn("last_category_id", last["category_id"])
+    cells = rows.groupBy(
+        *SLICED_FAULT_KEY, "last_category_id", "server_model", "category_id"
+    ).agg(
         F.count("*").alias("n"),
         F.sum("word_cnt").cast("bigint").alias("words"),
         F.sum("char_cnt").cast("bigint").alias("chars"),
         F.min("time_ts").alias("min_ts"),
         F.max("time_ts").alias("max_ts"),
-        F.max(F.struct("at_us", "ord")).alias("last_at"),
     )
-    fault = Window.partitionBy(*SLICED_FAULT_KEY)
-    category = Window.partitionBy(*SLICED_FAULT_KEY, "category_id")
     # most frequent category, the smallest id on ties
     top = F.min(F.struct((-F.col("category_n")).alias("rank"), F.col("category_id"))).over(fault)
-    last = F.max(F.struct("last_at", "category_id")).over(fault)
     return cells.withColumn("category_n", F.sum("n").over(category)).withColumns(
         {
             "mode_category_id": top["category_id"],
-            "last_category_id": last["category_id"],
             "fault_n": F.sum("n").over(fault),
             "fault_min_ts": F.min("min_ts").over(fault),
             "fault_max_ts": F.max("max_ts").over(fault),
@@ -92,10 +94,15 @@ def category_statistics(messages: DataFrame) -> DataFrame:
         F.first("fault_n").alias("log_cnt"),
         _share("last_category_id").alias("last_category_occupy"),
         _share("mode_category_id").alias("mode_category_occupy"),
-        F.count_distinct("category_id").alias("category_nunique"),
+        _distinct_categories().alias("category_nunique"),
     ).drop("slice", "fault_us")
 
 
+def _distinct_categories():
+    """Number of categories; a set of at most 35 ids needs no second aggregation."""
+    return F.size(F.collect_set("category_id")).cast("bigint")
+
+
 def _share(category: str):
     """Share of a group's messages that belong to the given category."""
     return F.sum(F.col("n") * fx.flag(F.col("category_id") == F.col(category))) / F.sum("n")
@@ -183,7 +190,7 @@ def base_scalars_v1(messages: DataFrame) -> DataFrame:
         *SLICED_FAULT_KEY, "last_category_id", "mode_category_id",
         "fault_n", "fault_min_ts", "fault_max_ts", "fault_words", "fault_chars",
     ).agg(
-        F.count_distinct("category_id").alias("category_nunique"),
+        _distinct_categories().alias("category_nunique"),
         _share("last_category_id").alias("last_category_occupy"),
         _share("mode_category_id").alias("mode_category_occupy"),
     )
