@@ -36,16 +36,29 @@ for _cp in range(len(_CLASS)):
         _CLASS[_cp] = 27 + _cp % SLOTS
 
 
-_BORDER = np.zeros(2, dtype=np.int64)
-
-
 def classes(text: str) -> np.ndarray:
     """Class of each character of a lower-cased text; letters from U+3000 on go by
     their code point as well."""
     cp = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)
     if len(cp) and cp.max() >= len(_CLASS):
-        return np.where(cp < len(_CLASS), _CLASS[np.minimum(cp, len(_CLASS) - 1)], 27 + cp % SLOTS).astype(np.int64)
-    return _CLASS[cp].astype(np.int64)
+        return np.where(cp < len(_CLASS), _CLASS[np.minimum(cp, len(_CLASS) - 1)], 27 + cp % SLOTS).astype(np.int32)
+    return _CLASS[cp]
+
+
+def _stretches(texts: list[str | None], size: int = 1 << 18) -> Iterator[str]:
+    """Lower-cased texts, two borders between them, in stretches of about
+    ``size`` characters; a stretch starts with the last two characters of the one before."""
+    held: list[str] = []
+    n = 0
+    for text in texts:
+        low = f"\0\0{text.lower()}" if text else ""
+        for at in range(0, len(low), size):
+            held.append(low[at:at + size])
+            n += len(held[-1])
+            if n >= size:
+                yield "".join(held)
+                held, n = [held[-1][-2:]], 0
+    yield "".join(held) + "\0"
 
 
 def count_trigrams(docs: DataFrame, text_col: str) -> DataFrame:
@@ -55,9 +68,8 @@ def count_trigrams(docs: DataFrame, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SIZE ** 3, dtype=np.int64)
         for batch in batches:
-            texts = [t for t in column(batch, "text") if t]
-            for at in range(0, len(texts), 256):
-                c = np.concatenate([x for t in texts[at:at + 256] for x in (_BORDER, classes(t.lower()))])
+            for text in _stretches(column(batch, "text")):
+                c = classes(text)
                 total += np.bincount((c[:-2] * SIZE + c[1:-1]) * SIZE + c[2:], minlength=SIZE ** 3)
         codes = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(total[codes])], names=["code", "n"])
