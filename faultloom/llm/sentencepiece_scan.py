@@ -29,7 +29,7 @@ from .common import array, column, map_rows
 
 BLANK = "▁"
 CHUNK = 16_384        # characters; longer texts are encoded in chunks
-MEMO = 500_000        # words a task remembers
+MEMO = 300_000        # words a task remembers
 ROW = 2_000           # neighbours it remembers of a piece, of which there are no more than the model has
 State = tuple[int, int]  # an arc at a border: characters before it, characters behind it
 Matrix = dict[State, frozenset]

@@ -102,7 +102,7 @@ SWAP, LITERAL, SHORTEN, DROP = 1.0, 6.0, 0.5, 0.2  # costs of the channel, in na
 _SIGNS = re.escape("".join(LEET))
 _LETTER = r"[^\W\d_]"
 # single characters in a row, apart by blanks; apart by other separators in a token
-SPACED = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
+SPACED = re.compile(r"(?<!\S)\S(?: \S){2,}(?=[.,;:!?]*(?:\s|\Z))")
 DOTTED = re.compile(rf"(?:[^\W_]|[{_SIGNS}])(?:[.\-_*](?:[^\W_]|[{_SIGNS}])){{2,}}\Z")
 HIDDEN = re.compile(rf"[{_SIGNS}]")
 REPEATED = re.compile(rf"({_LETTER})\1\1")
@@ -117,7 +117,7 @@ class Decoder:
 
     model: np.ndarray
     memo: dict[str, str] = field(default_factory=dict)
-    room: int = 100_000
+    room: int = 50_000
 
     def __call__(self, token: str) -> str:
         known = self.memo.get(token)
@@ -206,7 +206,7 @@ class ToxicityModel:
         found: dict[str, int] = {}
         hit = 0
         known = self.known
-        if len(known) > 300_000:
+        if len(known) > 120_000:
             known.clear()
         all_tokens = tokens(text, self.decode) if text else []
         n = len(all_tokens)
@@ -293,16 +293,19 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
     """The columns ``keep`` and ``score`` of every row: the whole text is scored, null
     and empty ones like a text without words; an empty table gives an empty one."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*(F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)), F.col(text_col).alias("text"))
-    head = "".join(f"keep_{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(keep))
+    columns = {f"keep_{i}": c for i, c in enumerate(keep)}
+    # a text that is kept is not sent to the tasks a second time
+    text = next((k for k, c in columns.items() if c == text_col), "text")
+    rows = docs.select(*(F.col(c).alias(k) for k, c in columns.items()),
+                       *([F.col(text_col).alias("text")] if text == "text" else []))
+    head = "".join(f"{k} {docs.schema[c].dataType.simpleString()}, " for k, c in columns.items())
 
     def run(batch: pa.RecordBatch):
         own = shared.value
-        yield {**{f"keep_{i}": array(batch, f"keep_{i}") for i in range(len(keep))},
-               "score": [own.score(t) for t in column(batch, "text")]}
+        yield {**{k: array(batch, k) for k in columns}, "score": [own.score(t) for t in column(batch, text)]}
 
     return map_rows(rows, run, f"{head}score double").select(
-        *(F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)), "score")
+        *(F.col(k).alias(c) for k, c in columns.items()), "score")
 
 
 def training_labels(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
