@@ -20,42 +20,44 @@ PLAIN_FOLD_SEED = 2016
 HOLDOUT_SEED = 2022
 HOLDOUT_SHARE = 0.25
 
-HASH_BUCKETS = 4096
+BUCKET_DIGITS = 3  # hex digits of the bucket a row is numbered in: 16 times as many buckets for each
 
 
 def _shuffled_rank(df: DataFrame, keys: Sequence[str], row_id: Sequence[str], seed: int,
-                   buckets: int) -> DataFrame:
-    """Random but repeatable position of each row within its group."""
-    spread = F.xxhash64(*row_id, F.lit(seed))
+                   digits: int) -> DataFrame:
+    """Random but repeatable position of each row within its group: by the md5 of its
+    key and the seed. A bucket is a beginning of the md5; choose ``digits`` so that a
+    class divided by 16 to that power still fits a task."""
+    spread = F.md5(F.concat_ws("|", *(F.col(c).cast("string") for c in row_id), F.lit(str(seed))))
     return split_row_number(
-        df, keys, F.pmod(spread, F.lit(buckets)), [spread, *map(F.col, row_id)], "_position"
+        df, keys, F.substring(spread, 1, digits), [spread, *map(F.col, row_id)], "_position"
     )
 
 
 def stratified_folds(
     df: DataFrame, row_id: Sequence[str] = ("row_id",), label: str = "label", k: int = FOLDS,
-    seed: int = FOLD_SEED, buckets: int = HASH_BUCKETS,
+    seed: int = FOLD_SEED, digits: int = BUCKET_DIGITS,
 ) -> DataFrame:
     """Add ``fold``: class sizes differ by at most one between folds."""
-    ranked = _shuffled_rank(df, [label], row_id, seed, buckets)
+    ranked = _shuffled_rank(df, [label], row_id, seed, digits)
     return ranked.withColumn("fold", ((F.col("_position") - 1) % k).cast("int")).drop("_position")
 
 
 def plain_folds(
     df: DataFrame, row_id: Sequence[str] = ("row_id",), k: int = FOLDS,
-    seed: int = PLAIN_FOLD_SEED, buckets: int = HASH_BUCKETS,
+    seed: int = PLAIN_FOLD_SEED, digits: int = BUCKET_DIGITS,
 ) -> DataFrame:
     """Add ``fold``, shuffled without regard to classes; sizes differ by at most one."""
-    ranked = _shuffled_rank(df, [], row_id, seed, buckets)
+    ranked = _shuffled_rank(df, [], row_id, seed, digits)
     return ranked.withColumn("fold", ((F.col("_position") - 1) % k).cast("int")).drop("_position")
 
 
 def stratified_holdout(
     df: DataFrame, row_id: Sequence[str] = ("row_id",), label: str = "label",
-    share: float = HOLDOUT_SHARE, seed: int = HOLDOUT_SEED, buckets: int = HASH_BUCKETS,
+    share: float = HOLDOUT_SHARE, seed: int = HOLDOUT_SEED, digits: int = BUCKET_DIGITS,
 ) -> DataFrame:
     """Add ``is_validation`` for exactly the rounded share of every class."""
-    ranked = _shuffled_rank(df, [label], row_id, seed, buckets)
+    ranked = _shuffled_rank(df, [label], row_id, seed, digits)
     sizes = df.groupBy(label).agg(F.count("*").alias("_size"))  # one row per class
     return (
         ranked.join(F.broadcast(sizes), label)

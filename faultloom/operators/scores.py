@@ -20,7 +20,6 @@ CLASS_WEIGHTS = (5 / 11, 4 / 11, 1 / 11, 1 / 11)
 ALTERNATIVE_CLASS_WEIGHTS = (3 / 7, 2 / 7, 1 / 7, 1 / 7)
 FOCAL_ALPHA = 0.75
 FOCAL_GAMMA = 2.0
-DERIVATIVE_STEP = 1e-6
 EMA_DECAY = 0.9
 
 
@@ -141,12 +140,24 @@ def fold_average(
 
 # --- losses ----------------------------------------------------------------------------
 
+def _log_hit(z: Column) -> Column:
+    """log of the logistic function, finite for every finite ``z``."""
+    return -(F.greatest(-z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))))
+
+
+def _focal_parts(x: Column, t: Column, alpha: float) -> tuple[Column, Column, Column, Column, Column]:
+    """Sign of the target, class weight, probability of the target, that of the other
+    outcome, and logs of both, all from the margin ``z = sign * x``."""
+    sign = 2 * t - 1
+    log_p, log_q = _log_hit(sign * x), _log_hit(-sign * x)
+    return sign, alpha * t + (1 - alpha) * (1 - t), F.exp(log_p), log_p, log_q
+
+
 def _focal_cell(x: Column, t: Column, alpha: float, gamma: float) -> Column:
-    """Focal loss of one logit ``x`` with 0/1 target ``t``."""
-    p = 1.0 / (1.0 + F.exp(-x))
-    hit = t * p + (1 - t) * (1 - p)
-    log_hit = t * F.ln(p) + (1 - t) * F.ln(1 - p)
-    return -(alpha * t + (1 - alpha) * (1 - t)) * F.pow(1 - hit, F.lit(gamma)) * log_hit
+    """Focal loss of one logit ``x`` with 0/1 target ``t``: the weighted cross-entropy
+    times the gamma-th power of the probability missed."""
+    _, weight, _, log_p, log_q = _focal_parts(x, t, alpha)
+    return -weight * F.exp(gamma * log_q) * log_p
 
 
 def _cells(scored: DataFrame, logits: str, target: str, keys: Sequence[str], classes: int):
@@ -173,26 +184,30 @@ def focal_loss(
 def focal_gradient(
     scored: DataFrame, logits: str = "logits", target: str = "target",
     keys: Sequence[str] = ("row_id",), alpha: float = FOCAL_ALPHA, gamma: float = FOCAL_GAMMA,
-    classes: int = NUM_CLASSES, step: float = DERIVATIVE_STEP,
+    classes: int = NUM_CLASSES,
 ) -> DataFrame:
-    """First and second derivative of the focal loss by its logit, as central
-    differences with the given step. Long form: one row per (row, class)."""
+    """First and second derivative of the focal loss by its logit, in closed form.
+    Long form: one row per (row, class)."""
     cells = _cells(scored, logits, target, keys, classes)
-    x, t, h = F.col("x"), F.col("t"), F.lit(step)
-    up, mid, down = (_focal_cell(v, t, alpha, gamma) for v in (x + h, x, x - h))
+    sign, weight, p, log_p, log_q = _focal_parts(F.col("x"), F.col("t"), alpha)
+    q, scale = F.exp(log_q), weight * F.exp(gamma * log_q)
     return cells.select(
         *keys, "class",
-        ((up - down) / (2 * h)).alias("grad"),
-        ((up - 2 * mid + down) / (h * h)).alias("hess"),
+        (sign * scale * (gamma * p * log_p - q)).alias("grad"),
+        (scale * p * ((2 * gamma + 1) * q + gamma * q * log_p - gamma * gamma * p * log_p)).alias("hess"),
     )
 
 
 def softmax_log_loss(
     scored: DataFrame, logits: str = "logits", target: str = "target"
 ) -> DataFrame:
-    """Mean softmax cross-entropy."""
-    own = F.element_at(fx.softmax(F.col(logits)), (F.col(target) + 1).cast("int"))
-    return scored.agg(F.avg(-F.ln(own)).alias("log_loss"))
+    """Mean softmax cross-entropy: log of the summed exponentials less the own logit."""
+    rows = scored.select(
+        F.transform(logits, lambda x: x.cast("double")).alias("x"), F.col(target).alias("t")
+    ).withColumn("top", F.array_max("x"))
+    total = F.aggregate(F.col("x"), F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("top")))
+    own = F.element_at("x", (F.col("t") + 1).cast("int"))
+    return rows.agg(F.avg(F.col("top") + F.log(total) - own).alias("log_loss"))
 
 
 # --- pseudo labels ----------------------------------------------------------------------

@@ -270,6 +270,21 @@ SELECT term, term_idx, df, round(idf, 6) AS idf, n_docs FROM vocabulary"""
 # --- folds and weights ------------------------------------------------------------------------
 
 _ROWS = "rows AS (SELECT vec_id AS row_id, label % 4 AS label, embedding FROM embeddings)"
+
+
+def _ranked(keys: str, seed: int) -> str:
+    """Rows with their position in the order of a hash of key and seed."""
+    return f"""{_ROWS},
+ranked AS (
+  SELECT row_id, label, row_number() OVER ({keys} ORDER BY md5(row_id || '|' || {seed}), row_id) AS position FROM rows)"""
+
+
+ORACLES["stratified_folds"] = f"""WITH {_ranked("PARTITION BY label", 2010)}
+SELECT row_id, label, CAST((position - 1) % 5 AS INTEGER) AS fold FROM ranked"""
+ORACLES["plain_folds"] = f"""WITH {_ranked("", 2016)}
+SELECT row_id, label, CAST((position - 1) % 5 AS INTEGER) AS fold FROM ranked"""
+ORACLES["stratified_holdout"] = f"""WITH {_ranked("PARTITION BY label", 2022)}
+SELECT row_id, label, position <= round_even(count(*) OVER (PARTITION BY label) * 0.25, 0) AS is_validation FROM ranked"""
 ORACLES["stratified_fold_sizes"] = f"""WITH {_ROWS},
 counted AS (SELECT label, count(*) AS n FROM rows GROUP BY label)
 SELECT label, CAST(fold AS INTEGER) AS fold, (n + 4 - fold) // 5 AS cnt
@@ -432,21 +447,30 @@ cells AS (
   FROM scored, (SELECT unnest([0, 1, 2, 3]) AS class))"""
 
 
-def _focal(x: str) -> str:
-    p = f"(1 / (1 + exp(-({x}))))"
-    return (
-        f"(-(0.75 * t + 0.25 * (1 - t)) * pow(1 - (t * {p} + (1 - t) * (1 - {p})), 2)"
-        f" * (t * ln({p}) + (1 - t) * ln(1 - {p})))"
-    )
-
-
-ORACLES["focal_loss"] = f"""WITH {_CELLS}
-SELECT round(avg({_focal("x")}), 6) AS focal_loss FROM cells"""
-ORACLES["focal_gradient"] = f"""WITH {_CELLS}
-SELECT row_id, CAST(class AS INTEGER) AS class,
-       round(({_focal("x + 1e-6")} - {_focal("x - 1e-6")}) / 2e-6, 6) AS grad FROM cells"""
+_MARGIN = f"""{_CELLS},
+margins AS (SELECT row_id, class, 2 * t - 1 AS s, 0.75 * t + 0.25 * (1 - t) AS w, (2 * t - 1) * x AS z FROM cells),
+parts AS (SELECT *, 1 / (1 + exp(-z)) AS p, 1 / (1 + exp(z)) AS q FROM margins)"""
+ORACLES["focal_loss"] = f"""WITH {_MARGIN}
+SELECT round(avg(-w * q * q * ln(p)), 6) AS focal_loss FROM parts"""
+# derivatives of -w q^2 ln p by x, with p' = p q and q' = -p q
+_GRAD = "round(s * w * (2 * p * q * q * ln(p) - q * q * q), 6) AS grad"
+ORACLES["focal_gradient"] = f"""WITH {_MARGIN}
+SELECT row_id, CAST(class AS INTEGER) AS class, {_GRAD} FROM parts"""
+ORACLES["focal_grad_hess"] = f"""WITH {_MARGIN}
+SELECT row_id, CAST(class AS INTEGER) AS class, {_GRAD},
+       round(w * (2 * p * q * q * q * ln(p) - 4 * p * p * q * q * ln(p) + 2 * p * q * q * q + 3 * p * q * q * q), 6) AS hess
+FROM parts"""
 ORACLES["softmax_log_loss"] = f"""WITH {_SCORES}
 SELECT round(avg(-ln([pa0, pa1, pa2, pa3][target + 1])), 6) AS log_loss FROM scored"""
+ORACLES["extreme_logit_losses"] = f"""WITH {_CELLS},
+margins AS (SELECT 0.75 * t + 0.25 * (1 - t) AS w, (2 * t - 1) * x * 1000 AS z FROM cells),
+logs AS (SELECT w, -greatest(-z, 0) - ln(1 + exp(-abs(z))) AS lp, -greatest(z, 0) - ln(1 + exp(-abs(z))) AS lq
+         FROM margins),
+tops AS (SELECT row_id, max(x) * 1000 AS top, sum(x * t) * 1000 AS own FROM cells GROUP BY row_id),
+sums AS (SELECT row_id, any_value(top) AS top, any_value(own) AS own, sum(exp(x * 1000 - top)) AS total
+         FROM cells JOIN tops USING (row_id) GROUP BY row_id)
+SELECT 'focal' AS loss, round(avg(-w * exp(2 * lq) * lp), 6) AS value FROM logs
+UNION ALL SELECT 'softmax', round(avg(top + ln(total) - own), 6) FROM sums"""
 
 ORACLES["ema_series"] = """WITH steps AS (
   SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS step,

@@ -52,6 +52,10 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.withColumns({c: r6(c) for c in doubles})
 
 
+def _vocabulary(table: DataFrame) -> DataFrame:
+    return table.select("term", "term_idx", "df", r6("idf").alias("idf"), "n_docs")
+
+
 def _fixture(spark: SparkSession, sf_dir: str):
     faults, logs = fixt.faults(spark, sf_dir), fixt.logs(spark, sf_dir)
     return faults, logs, hs.slice_plan(faults, logs)
@@ -210,7 +214,7 @@ def encoding_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tfidf_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = fixt.documents(spark, sf_dir)
     model = tx.fit_tfidf(docs)
-    return model.to_df(spark).withColumn("idf", r6("idf"))
+    return _vocabulary(model.to_df(spark))
 
 
 @register
@@ -228,7 +232,7 @@ def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fault_text_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vocabulary over the merged messages of the faults."""
     texts = materialize(lf.merged_messages(*_fixture(spark, sf_dir)).select("msg"))
-    return tx.fit_tfidf(texts, "msg").to_df(spark).withColumn("idf", r6("idf"))
+    return _vocabulary(tx.fit_tfidf(texts, "msg").to_df(spark))
 
 
 @register
@@ -454,8 +458,17 @@ def focal_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def focal_grad_hess(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Second differences at this step carry rounding noise, so no SQL twin."""
-    return sc.focal_gradient(fixt.scores(spark, sf_dir), "logit_a")
+    return rounded(sc.focal_gradient(fixt.scores(spark, sf_dir), "logit_a"))
+
+
+@register
+def extreme_logit_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both losses with logits a thousand times as large."""
+    rows = fixt.scores(spark, sf_dir).withColumn(
+        "logit_a", F.transform("logit_a", lambda x: x.cast("double") * 1000))
+    losses = {"focal": sc.focal_loss(rows, "logit_a"), "softmax": sc.softmax_log_loss(rows, "logit_a")}
+    parts = [df.toDF("value").select(F.lit(name).alias("loss"), "value") for name, df in losses.items()]
+    return rounded(parts[0].unionByName(parts[1]))
 
 
 @register

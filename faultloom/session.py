@@ -30,13 +30,15 @@ def build_session(app_name: str = "faultloom", master: str | None = None, **conf
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; only where that is
-    unset (tests, a laptop) a temporary one is used."""
+    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where
+    that is unset and driver and tasks share one machine (tests, a laptop)."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and sc.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="faultloom-"))
     return sc.getCheckpointDir()
 

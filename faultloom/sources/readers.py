@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as fx
@@ -27,23 +27,54 @@ def _paths(files) -> list[str]:
     return []
 
 
-def read_csv_union(spark: SparkSession, files, columns: dict[str, str]) -> DataFrame:
+def read_csv_union(
+    spark: SparkSession, files, columns: dict[str, str], multiline: bool = False,
+    order: str | None = None,
+) -> DataFrame:
     """All files as one table, matched by header name; a column that a file lacks
-    is null there. Anything but a path or a list of paths gives an empty table."""
+    is null there. Anything but a path or a list of paths gives an empty table.
+
+    ``multiline`` lets quoted fields hold line breaks; such files are not splittable,
+    one task reads each. ``order`` names a column for the position of a row in the
+    files: by the place of its path in ``files``, then by file name, then in the file.
+    """
     schema = ", ".join(f"{name} {kind}" for name, kind in columns.items())
     parts = [
-        spark.read.option("header", True).option("escape", '"').csv(path)
+        spark.read.option("header", True).option("escape", '"').option("multiLine", multiline).csv(path)
         for path in _paths(files)
     ]
     if not parts:
-        return spark.createDataFrame([], schema)
+        empty = spark.createDataFrame([], schema)
+        return empty.withColumn(order, F.lit(0).cast("bigint")) if order else empty
+    if order:
+        parts = [
+            part.select("*", F.lit(i).alias("_place"), F.col("_metadata.file_path").alias("_file"),
+                        F.col("_metadata.file_block_start").alias("_start"))
+            for i, part in enumerate(parts)
+        ]
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    return rows.withColumns(
+    rows = rows.withColumns(
         {
             name: (F.col(name) if name in rows.columns else F.lit(None)).cast(kind)
             for name, kind in columns.items()
         }
     )
+    return _in_file_order(rows, order) if order else rows
+
+
+def _in_file_order(rows: DataFrame, name: str) -> DataFrame:
+    """Number rows by split, then by their place in it.
+
+    Spark deals splits to tasks by size, so the running number of a task tells the
+    order inside a split only. The table of splits has one row for each, whatever the
+    number of rows; it is ordered in one task.
+    """
+    rows = rows.withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    split = ["_place", "_file", "_start"]
+    ranks = rows.select(*split).distinct().withColumn(
+        "_rank", F.row_number().over(Window.orderBy(*split)).cast("bigint") - 1)
+    joined = rows.join(ranks, split)
+    return joined.withColumn(name, F.shiftleft("_rank", 33) + F.col("_row")).drop(*split, "_rank", "_row")
 
 
 def read_faults(
@@ -60,11 +91,12 @@ def read_faults(
     return rows.withColumn("fault_time_ts", fx.epoch_seconds(F.col("fault_time")))
 
 
-def read_logs(spark: SparkSession, files, tolerant: bool = False) -> DataFrame:
+def read_logs(
+    spark: SparkSession, files, tolerant: bool = False, multiline: bool = False
+) -> DataFrame:
     """Log table with parsed time, epoch seconds and ``ord``, the position in the
     files, which decides between rows of equal time."""
-    rows = read_csv_union(spark, files, LOG_COLUMNS)
-    rows = rows.withColumn("ord", F.monotonically_increasing_id())
+    rows = read_csv_union(spark, files, LOG_COLUMNS, multiline, order="ord")
     rows = rows.withColumn("time", fx.parse_timestamp(F.col("time"), tolerant))
     return rows.withColumn("time_ts", fx.epoch_seconds(F.col("time")))
 

@@ -28,7 +28,7 @@ def test_split_row_number_equals_the_plain_one(spark, rows):
 
 
 def test_stratified_folds_are_balanced_and_cover_all_rows(rows):
-    got = fd.stratified_folds(rows, buckets=16).collect()
+    got = fd.stratified_folds(rows, digits=1).collect()
     assert sorted(r["row_id"] for r in got) == list(range(503))
     for label in range(4):
         sizes = Counter(r["fold"] for r in got if r["label"] == label)
@@ -203,3 +203,16 @@ def test_min_max_scaling_of_a_constant_and_of_new_values(spark):
     assert sorted(out) == [[0.0, 0.0], [1.0, 0.0]]
     new = spark.createDataFrame([([5.0, 6.0],)], "v array<double>")
     assert new.select(model.transform(F.col("v"))).first()[0] == [2.0, 1.0]
+
+
+def test_losses_keep_extreme_logits(spark):
+    df = spark.createDataFrame(
+        [(1, 0, [0.0, 800.0, 0.0, 0.0]), (2, 1, [0.0, 0.0, 0.0, 0.0]), (3, 2, [40.0, -1000.0, 1000.0, 5.0])],
+        "row_id int, target int, logits array<double>")
+    log_loss = sc.softmax_log_loss(df).first()[0]
+    assert log_loss == pytest.approx((800 + math.log(4) + 0) / 3)
+    cells = sc.focal_gradient(df).collect()
+    assert len(cells) == 12 and all(math.isfinite(r["grad"]) and math.isfinite(r["hess"]) for r in cells)
+    # a miss by 800 costs about its size: weight 0.25 for a wrong class
+    assert sc.focal_loss(df.filter("row_id = 1")).first()[0] == pytest.approx(
+        (0.25 * 800 + 0.75 * 0.25 * math.log(2) + 2 * 0.25 * 0.25 * math.log(2)) / 4)

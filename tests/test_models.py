@@ -152,7 +152,7 @@ def test_features_fit_and_apply_agree_on_the_same_faults(spark, tables, version,
     ft, lt = fault_table(spark, tables[0]), log_table(spark, tables[1])
     fitted, artifacts = features.fit_features(ft, lt, version)
     artifacts.save(spark, str(tmp_path))
-    loaded = features.FeatureArtifacts.load(spark, str(tmp_path), version)
+    loaded = features.FeatureArtifacts.load(spark, str(tmp_path))
     applied = features.apply_features(ft, lt, loaded)
     key = lambda df: sorted(map(str, features.model_inputs(df, version).collect()))
     assert key(fitted) == key(applied)

@@ -84,3 +84,30 @@ def test_vectors_spread_over_columns(spark):
     df = spark.createDataFrame([(1, Vectors.dense(0.5, 0.25))], ["i", "tfidf"])
     row = writers.spread_vectors(df, 3).first()
     assert row.asDict() == {"i": 1, "tfidf_0": 0.5, "tfidf_1": 0.25, "tfidf_2": None}
+
+
+def test_positions_follow_the_files(spark, tmp_path):
+    head = "sn,time,msg,server_model\n"
+    line = lambda f, i: f"S1,2024-01-01 00:00:00,{f}{i:05d},A\n"
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    write(folder / "a.csv", head + line("a", 0))
+    write(folder / "b.csv", head + "".join(line("b", i) for i in range(3000)))
+    last = write(tmp_path / "0.csv", head + "".join(line("c", i) for i in range(5)))
+    want = ["a00000"] + [f"b{i:05d}" for i in range(3000)] + [f"c{i:05d}" for i in range(5)]
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    try:
+        for size in (before, "16k"):
+            spark.conf.set(key, size)
+            rows = readers.read_logs(spark, [str(folder), last])
+            assert [r["msg"] for r in rows.orderBy("ord").collect()] == want
+    finally:
+        spark.conf.set(key, before)
+    assert readers.read_logs(spark, []).count() == 0
+
+
+def test_line_breaks_in_messages(spark, tmp_path):
+    path = write(tmp_path / "l.csv", 'sn,time,msg,server_model\nS1,2024-01-01 00:00:00,"line1\nline2",A\n')
+    rows = readers.read_logs(spark, path, multiline=True).collect()
+    assert [(r["msg"], r["server_model"]) for r in rows] == [("line1\nline2", "A")]
