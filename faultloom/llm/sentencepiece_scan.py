@@ -251,6 +251,11 @@ class Pieces:
                 out += [memo.get(w) or word(w) for w in (mark + line.replace(" ", " " + BLANK)).split(" ")]
         return b"".join(out)
 
+    def covers(self, ids: bytes, s: str) -> bool:
+        """Whether the ids' own bytes are those of an escaped stretch."""
+        found = b"".join([self.texts[i] for i in np.frombuffer(ids, dtype=np.int32).tolist()])
+        return found == s.replace(BLANK, " ").encode("utf-8", "replace")
+
     def decode(self, ids: list[int]) -> str:
         """Text of ids; bytes that are no UTF-8 become U+FFFD, ids beyond the model are
         skipped."""
@@ -422,9 +427,8 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
 
     out = "token_ids array<int>, round_trip boolean"
     encoded = map_rows(rows.filter(~long), short, head + out)
-    giants = materialize(rows.filter(long).withColumn("key", F.monotonically_increasing_id()))
-    if not giants.isEmpty():
-        encoded = encoded.unionByName(_encode_long(giants, shared, names, head, chunk))
+    giants = rows.filter(long).withColumn("key", F.monotonically_increasing_id())
+    encoded = encoded.unionByName(_encode_long(giants, shared, names, head, chunk))
     return encoded.select(F.col("id").alias(id_col), *(F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)),
                           "token_ids", "round_trip")
 
@@ -435,10 +439,13 @@ PART = "key bigint, k int, s string, a int, b int, final boolean"
 def _encode_long(giants: DataFrame, shared, names: list[str], head: str, chunk: int) -> DataFrame:
     def split(batch: pa.RecordBatch):
         own = shared.value
+        # the columns that are kept go with the first chunk only
+        others = iter([dict(zip(names, row)) for row in zip(*(column(batch, n) for n in names))])
         for key, text in zip(column(batch, "key"), column(batch, "text")):
             found = list(parts(own.escape(text), chunk, own.longest))
             yield {"key": [key] * len(found), "k": list(range(len(found))), "s": [p.s for p in found],
-                   "a": [p.a for p in found], "b": [p.b for p in found], "final": [p.final for p in found]}
+                   "a": [p.a for p in found], "b": [p.b for p in found], "final": [p.final for p in found],
+                   **{n: [v] + [None] * (len(found) - 1) for n, v in next(others).items()}}
 
     def part_rows(batch: pa.RecordBatch) -> Iterator[tuple]:
         cols = [column(batch, n) for n in ("s", "a", "b", "final")]
@@ -465,24 +472,23 @@ def _encode_long(giants: DataFrame, shared, names: list[str], head: str, chunk:
 
     def finish(batch: pa.RecordBatch):
         own = shared.value
-        found = [backtrace(own, part, (x[0], x[1]), (x[2], x[3]))
-                 for part, x in zip(part_rows(batch), column(batch, "states"))]
-        yield {"key": array(batch, "key"), "k": array(batch, "k"), "part": _ids_array(found)}
-
-    def check(batch: pa.RecordBatch):
-        own = shared.value
-        found = [np.array(ids, dtype=np.int32).tobytes() for ids in column(batch, "token_ids")]
-        yield {**{n: array(batch, n) for n in names}, "token_ids": array(batch, "token_ids"),
-               "round_trip": [_same(own, t, f) for t, f in zip(column(batch, "text"), found)]}
-
-    chunks = materialize(map_rows(giants.select("key", "text"), split, PART).repartition(F.xxhash64("key", "k")))
-    cells = map_rows(chunks, matrix, "key bigint, k int, cells array<struct<i:int,j:int,p:int,q:int>>")
+        found, same = [], []
+        for part, x in zip(part_rows(batch), column(batch, "states")):
+            found.append(backtrace(own, part, (x[0], x[1]), (x[2], x[3])))
+            same.append(own.covers(found[-1], part.s[part.a + x[1]:part.b + x[3]]))
+        yield {"key": array(batch, "key"), "k": array(batch, "k"), "part": _ids_array(found), "same": same,
+               **{n: array(batch, n) for n in names}}
+
+    rows = map_rows(giants, split, head + PART)
+    chunks = materialize(rows.repartition(F.xxhash64("key", "k")))
+    cells = map_rows(chunks.select("key", "k", "s", "a", "b", "final"), matrix,
+                     "key bigint, k int, cells array<struct<i:int,j:int,p:int,q:int>>")
     states = cells.groupBy("key").applyInPandas(combine, "key bigint, k int, states array<int>")
-    traced = map_rows(chunks.join(states, ["key", "k"]), finish, "key bigint, k int, part array<int>")
-    whole = traced.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("k", "part"))).alias("all")).select(
-        "key", F.flatten("all.part").alias("token_ids"))
-    return map_rows(giants.join(whole, "key").select(*names, "text", "token_ids"), check,
-                    head + "token_ids array<int>, round_trip boolean")
+    traced = map_rows(chunks.join(states, ["key", "k"]), finish, f"{head}key bigint, k int, part array<int>, same boolean")
+    return traced.groupBy("key").agg(
+        F.array_sort(F.collect_list(F.struct("k", "part"))).alias("all"), F.every("same").alias("round_trip"),
+        *(F.max_by(n, -F.col("k")).alias(n) for n in names),
+    ).select(*names, F.flatten("all.part").alias("token_ids"), "round_trip")
 
 
 def decode(rows: DataFrame, pieces: Pieces, ids_col: str = "token_ids", id_col: str = "doc_id") -> DataFrame:
