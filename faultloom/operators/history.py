@@ -22,11 +22,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as fx
+from ..session import materialize
 from .slices import WHOLE, SlicePlan, plan_slices
 
 FAULT_KEY = ["sn", "fault_time", "fault_time_ts", "label"]
-SLICED_FAULT_KEY = ["sn", "slice", "fault_us", *FAULT_KEY[1:]]
+SLICED_FAULT_KEY = ["sn", "slice", "cell", "fault_us", *FAULT_KEY[1:]]
 MAX_MESSAGES = 40
+FAULTS_PER_CELL = 256
 _NEVER = 2**62  # "no end", beyond any timestamp
 
 
@@ -166,10 +168,12 @@ def message_versions(
     if plan.has_hot_servers:
         rows = _continue_in_later_slices(rows, same)
     # an older copy of the same instant has an empty interval
-    return rows.filter(F.col("next_us").isNull() | (F.col("next_us") > F.col("at_us"))).select(
+    rows = rows.filter(F.col("next_us").isNull() | (F.col("next_us") > F.col("at_us"))).select(
         "sn", "slice", "n_slices", "at_us", "ord", "time_ts", "msg", "server_model",
         "next_us", F.coalesce("next_slice", F.col("n_slices") - 1).alias("next_slice"),
     )
+    # the cap reads sliced versions twice, for the carried ends and for the scan
+    return materialize(rows) if plan.has_hot_servers else rows
 
 
 def _continue_in_later_slices(rows: DataFrame, same: str) -> DataFrame:
@@ -205,7 +209,17 @@ def cap_versions(
     are open, that is from the n-th largest end of the older ones. A heap of
     ``n`` ends per server is all the state this needs.
     """
-    rows = versions.withColumn("carried", F.lit(False))
+    # behind n older versions that never end there is no room: such rows, nearly all
+    # of a long history, neither enter nor change the heap and need not reach Python
+    older = (
+        Window.partitionBy(*plan.keys).orderBy("at_us", "ord")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    endless = F.coalesce(F.sum(F.col("next_us").isNull().cast("int")).over(older), F.lit(0))
+    rows = (
+        versions.withColumn("_endless", endless).filter(F.col("_endless") < n)
+        .drop("_endless").withColumn("carried", F.lit(False))
+    )
     if plan.has_hot_servers:
         rows = rows.unionByName(_carried_ends(versions, n), allowMissingColumns=True)
     if plan.has_hot_servers or _windows_move_rows(rows):
@@ -302,6 +316,22 @@ def _carried_ends(versions: DataFrame, n: int) -> DataFrame:
 
 # --- faults meet intervals -------------------------------------------------------
 
+def _fault_cells(points: DataFrame, plan: SlicePlan) -> tuple[DataFrame, DataFrame]:
+    """Cut the faults of a unit, in time order, into cells of about
+    ``FAULTS_PER_CELL``; equal instants share a cell. Returns the faults with
+    their ``cell`` and, per unit, the cells with the instant each starts at."""
+    place = F.rank().over(Window.partitionBy(*plan.keys).orderBy("fault_us"))
+    celled = points.withColumn(
+        "cell", F.floor((place - 1) / F.lit(FAULTS_PER_CELL)).cast("int")
+    )
+    starts = (
+        celled.groupBy(*plan.keys, "cell").agg(F.min("fault_us").alias("from_us"))
+        .groupBy(*plan.keys)
+        .agg(F.array_sort(F.collect_list(F.struct("from_us", "cell"))).alias("cells"))
+    )
+    return celled, starts
+
+
 def join_versions(
     faults: DataFrame,
     versions: DataFrame,
@@ -312,19 +342,33 @@ def join_versions(
 ) -> DataFrame:
     """Each fault with the versions whose interval ``[start, next_us)`` holds it.
 
-    A version that stays open over several slices is offered to each of them.
+    The join is on the server and a cell of neighbouring faults. A version is
+    offered to the cells that its interval meets and to no others: to those it
+    covers, where it matches every fault, and to the two at its borders. So the
+    work is in proportion to versions, faults and matches.
     """
     points = plan.assign(fault_points(faults)).drop("n_slices")
-    points = points.withColumnRenamed("at_us", "fault_us").alias("f")
+    points, starts = _fault_cells(points.withColumnRenamed("at_us", "fault_us"), plan)
     spans = versions
     if plan.has_hot_servers:
         spans = versions.withColumn(
             "slice", F.explode(F.sequence(F.col(start_slice), F.col("next_slice")))
         )
-    spans = spans.alias("v")
+    end = F.coalesce(F.col("next_us"), F.lit(_NEVER))
+    spans = spans.join(starts, plan.keys).withColumns({
+        "_first": F.greatest(
+            F.size(F.filter("cells", lambda c: c.from_us <= F.col(start))), F.lit(1)
+        ),
+        "_last": F.size(F.filter("cells", lambda c: c.from_us < end)),
+    })
+    met = F.slice("cells", F.col("_first"),
+                  F.greatest(F.col("_last") - F.col("_first") + 1, F.lit(0)))
+    spans = spans.withColumn("cell", F.explode(F.transform(met, lambda c: c.cell)))
+    points, spans = points.alias("f"), spans.alias("v")
     holds = (
         (F.col("f.sn") == F.col("v.sn"))
         & (F.col("f.slice") == F.col("v.slice"))
+        & (F.col("f.cell") == F.col("v.cell"))
         & (F.col(f"v.{start}") <= F.col("f.fault_us"))
         & (F.col("f.fault_us") < F.coalesce("v.next_us", F.lit(_NEVER)))
     )

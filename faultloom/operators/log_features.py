@@ -95,7 +95,7 @@ def category_statistics(messages: DataFrame) -> DataFrame:
         _share("last_category_id").alias("last_category_occupy"),
         _share("mode_category_id").alias("mode_category_occupy"),
         _distinct_categories().alias("category_nunique"),
-    ).drop("slice", "fault_us")
+    ).drop("slice", "cell", "fault_us")
 
 
 def _distinct_categories():
@@ -123,7 +123,7 @@ def time_gaps(messages: DataFrame) -> DataFrame:
             "last_time_gap": F.col("fault_time_ts") - F.col("max_time_ts"),
             "fault_hour": F.hour("fault_time"),
         }
-    ).drop("slice", "fault_us")
+    ).drop("slice", "cell", "fault_us")
 
 
 def merged_messages(
@@ -139,7 +139,7 @@ def merged_messages(
     rows = history.join_versions(faults, versions, plan, keep=keep)
     keys = SLICED_FAULT_KEY + (["server_model"] if per_model else [])
     text = F.expr(f"listagg(msg, '{separator}') within group (order by at_us, ord)")
-    return rows.groupBy(*keys).agg(text.alias("msg")).drop("slice", "fault_us")
+    return rows.groupBy(*keys).agg(text.alias("msg")).drop("slice", "cell", "fault_us")
 
 
 def base_scalars_v2(messages: DataFrame) -> DataFrame:
@@ -181,7 +181,7 @@ def base_scalars_v2(messages: DataFrame) -> DataFrame:
             "last_time_gap": fault_ts - F.col("fault_max_ts"),
             "fault_hour": F.hour("fault_time"),
         }
-    ).drop("slice", "fault_us", "fault_n", "fault_min_ts", "fault_max_ts")
+    ).drop("slice", "cell", "fault_us", "fault_n", "fault_min_ts", "fault_max_ts")
 
 
 def base_scalars_v1(messages: DataFrame) -> DataFrame:
@@ -208,7 +208,7 @@ def base_scalars_v1(messages: DataFrame) -> DataFrame:
             "char_cnt_sum": F.col("fault_chars").cast("double"),
         }
     ).drop(
-        "slice", "fault_us", "fault_n", "fault_min_ts", "fault_max_ts",
+        "slice", "cell", "fault_us", "fault_n", "fault_min_ts", "fault_max_ts",
         "fault_words", "fault_chars",
     )
 

@@ -12,16 +12,16 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 ROWS_PER_SLICE = 20_000
-MAX_SLICES = 200_000  # bound of the slice table, hence of what is broadcast
+MAX_SLICES = 50_000  # largest slice table that is broadcast, about 3 MB
 CELL_MICROS = 60 * 1_000_000  # resolution of the cuts
 DAY_MICROS = 86_400 * 1_000_000
 
-_LOOKUP_SCHEMA = "sn string, day bigint, slice int, start_us bigint, end_us bigint, n_slices int"
-
 
 def _cell(at_us: Column, width: int) -> Column:
     return F.floor(at_us / F.lit(width)).cast("bigint")
@@ -73,21 +73,20 @@ def plan_slices(
 ) -> SlicePlan:
     """Find the hot servers of ``tables`` (each with ``sn``, ``at_us``) and cut them.
 
-    The usual case costs one map-side-combined count over the ``sn`` column.
+    The usual case costs one map-side-combined count over the ``sn`` column. The
+    slice size never depends on the data; a table of more than ``max_slices`` slices
+    is joined by shuffle instead of broadcast.
     """
     points = reduce(DataFrame.unionByName, [t.select("sn", "at_us") for t in tables])
     counts = points.groupBy("sn").agg(F.count("*").alias("n"))
-    top = counts.agg(F.max("n").alias("largest"), F.sum("n").alias("total")).first()
-    if (top["largest"] or 0) <= rows_per_slice:
+    largest = counts.agg(F.max("n")).first()[0]
+    if (largest or 0) <= rows_per_slice:
         return WHOLE
-    # at most total / rows_per_slice servers can be hot, and the limit below is
-    # raised with the data, so this side stays under max_slices rows
-    rows_per_slice = max(rows_per_slice, -(-top["total"] // max_slices))
     hot = counts.filter(F.col("n") > rows_per_slice).select("sn")
 
     # rows per cell of the hot servers -> running count -> slice of each cell
     cells = (
-        points.join(F.broadcast(hot), "sn", "left_semi")
+        points.join(hot, "sn", "left_semi")
         .groupBy("sn", _cell(F.col("at_us"), cell_us).alias("cell"))
         .agg(F.count("*").alias("n"))
     )
@@ -118,9 +117,5 @@ def plan_slices(
         ),
     ).select("sn", "day", "slice", "start_us", "end_us", "n_slices")
 
-    limit = 4 * max_slices
-    rows = lookup.limit(limit + 1).collect()
-    if len(rows) > limit:
-        return SlicePlan(lookup, small_lookup=False)  # joined by shuffle instead
-    spark: SparkSession = points.sparkSession
-    return SlicePlan(spark.createDataFrame(rows, _LOOKUP_SCHEMA))
+    lookup = materialize(lookup)
+    return SlicePlan(lookup, small_lookup=lookup.count() <= max_slices)

@@ -118,13 +118,22 @@ def test_large_slice_table_is_joined_instead_of_broadcast(spark):
     ft, lt = fault_table(spark, faults), log_table(spark, logs)
     instants = [hs.fault_points(ft), hs.log_points(lt)]
     small = plan_slices(instants, rows_per_slice=30, cell_us=60_000_000)
-    # the limit on slices raises the rows per slice until they fit
-    few = plan_slices(instants, rows_per_slice=1, cell_us=60_000_000, max_slices=10)
-    assert few.lookup.count() <= 40
-    lazy = type(small)(small.lookup, small_lookup=False)
+    joined = plan_slices(instants, rows_per_slice=30, cell_us=60_000_000, max_slices=10)
+    assert small.small_lookup and not joined.small_lookup
+    # the bound on the broadcast changes the join only, never the slices
+    assert sorted(small.lookup.collect()) == sorted(joined.lookup.collect())
     a = keyed(hs.fault_history(ft, lt, small), ["history_cnt"])
-    assert a == keyed(hs.fault_history(ft, lt, lazy), ["history_cnt"])
-    assert a == keyed(hs.fault_history(ft, lt, few), ["history_cnt"])
+    assert a == keyed(hs.fault_history(ft, lt, joined), ["history_cnt"])
+
+
+def test_cells_of_few_faults_lose_no_match(skewed, monkeypatch):
+    faults, logs, ft, lt, plan = skewed
+    monkeypatch.setattr(hs, "FAULTS_PER_CELL", 3)
+    got = {}
+    for r in hs.first_messages(ft, lt, 5, plan).collect():
+        got.setdefault((r["sn"], r["fault_time_ts"], r["label"]), []).append(r["ord"])
+    expected = {k: sorted(o for _, o, _, _ in rows[:5]) for k, rows in history(faults, logs).items()}
+    assert {k: sorted(v) for k, v in got.items()} == expected
 
 
 def test_copies_of_one_instant_do_not_pile_up(spark):
