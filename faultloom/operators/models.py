@@ -7,6 +7,7 @@ executors; the driver only steers the fits.
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from functools import partial
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as fx
 from ..functions.categories import UNKNOWN_CATEGORY
 from ..functions.columns import NUM_CLASSES
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, materialize
 from . import folds as fd
 from . import scores as sc
 from .scaling import MinMaxModel, fit_min_max
@@ -187,20 +188,24 @@ def staged_macro_f1(
         for i, tree in enumerate(stage.trees):
             tree.setPredictionCol(f"_t_{c}_{i}").setFeaturesCol(FEATURES)
             scored = tree.transform(scored)
-    steps = []
-    for r in range(1, rounds + 1):
-        margins = [
-            sum(
-                (F.lit(float(w)) * F.col(f"_t_{c}_{i}")
-                 for i, w in list(enumerate(stage.treeWeights))[:r]),
-                F.lit(0.0),
-            )
-            for c, stage in enumerate(model.stages)
-        ]
-        steps.append(
-            F.struct(F.lit(r).alias("round"), fx.argmax(F.array(*margins)).alias("predict"))
-        )
-    long = scored.select(F.col(label).alias("target"), F.inline(F.array(*steps)))
+    outputs = {}
+    for c, stage in enumerate(model.stages):
+        terms = [F.lit(float(w)) * F.col(f"_t_{c}_{i}") for i, w in enumerate(stage.treeWeights)]
+        outputs[f"_m_{c}"] = F.array(*terms, *[F.lit(0.0)] * (rounds - len(terms)))
+    # written once: inlined into the sums, every tree would run again at each round
+    margins = materialize(scored.select(
+        F.col(label).alias("target"), *[col.alias(name) for name, col in outputs.items()]
+    ))
+    # one running sum per class over the array of its trees' outputs
+    steps = F.transform(
+        F.sequence(F.lit(1), F.lit(rounds)),
+        lambda r: F.struct(
+            r.alias("round"),
+            fx.argmax(F.array(*[F.aggregate(F.slice(m, F.lit(1), r), F.lit(0.0), operator.add)
+                                for m in outputs])).alias("predict"),
+        ),
+    )
+    long = margins.select("target", F.inline(steps))
     return sc.weighted_macro_f1(long, by=["round"])
 
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 from uuid import uuid4
 
 from pyspark.ml.functions import vector_to_array
@@ -32,9 +33,9 @@ REGISTRY: dict[str, Query] = {}
 
 FAULT = ["sn", "fault_time_ts", "label"]
 DIGITS = 6
-# Boosting rounds of the registered training queries: the largest number at
-# which the whole set still checks in minutes on one machine.
-QUICK = {s.name: replace(s, rounds=3, depth=3, min_rows=1) for s in md.ENSEMBLE}
+# The two queries whose models have no early stop run 3 rounds of depth 3, not the
+# library's 100 of depth 5-6: fold models without a stop take too long for a check.
+BRIEF = [replace(s, rounds=3, depth=3, min_rows=1) for s in md.ENSEMBLE]
 
 
 def register(query: Query) -> Query:
@@ -499,7 +500,7 @@ def _oof_columns(oof: DataFrame) -> DataFrame:
 
 @register
 def cv_train_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _oof_columns(md.cv_train(_training_rows(spark, sf_dir), QUICK["a"]).oof)
+    return _oof_columns(md.cv_train(_training_rows(spark, sf_dir), md.TREES_A).oof)
 
 
 @register
@@ -507,28 +508,32 @@ def cv_replay_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fold scores of models that went to storage and back."""
     rows = _training_rows(spark, sf_dir)
     folder = _scratch(spark, "models")
-    md.save_models(md.cv_train(rows, QUICK["b"]).models, folder, "b")
+    md.save_models(md.cv_train(rows, md.TREES_B).models, folder, "b")
     oof = md.out_of_fold(rows, md.load_models(folder, "b"))
     return _pooled_as_minus_one(sc.fold_scores(oof, {"b": "prob"}, "label"))
 
 
 @register
 def cv_predict_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean fold probabilities of two kinds of model, blended."""
+    """Mean fold probabilities of all kinds of model, blended."""
     rows = _training_rows(spark, sf_dir)
     scored = rows
-    for name in ("a", "c"):
-        scored = md.cv_predict(scored, md.cv_train(rows, QUICK[name]).models, f"prob_{name}")
-    prob = fx.blend([F.col("prob_a"), F.col("prob_c")], pipeline.EQUAL_TWO)
+    for kind in md.ENSEMBLE:
+        scored = md.cv_predict(scored, md.cv_train(rows, kind).models, f"prob_{kind.name}")
+    weights = [1.0 / len(md.ENSEMBLE)] * len(md.ENSEMBLE)
+    prob = fx.blend([F.col(f"prob_{kind.name}") for kind in md.ENSEMBLE], weights)
     return scored.select("row_id", *_spread(prob), fx.argmax(prob).alias("predict"))
 
 
 @register
 def staged_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Validation macro-F1 after each boosting round of the first fold."""
+    """Validation macro-F1 of every fold's model after each boosting round."""
     rows = _training_rows(spark, sf_dir)
-    model = md.fit_boosted(fd.training_rows(rows, 0), QUICK["a"])
-    return rounded(md.staged_macro_f1(model, fd.validation_rows(rows, 0)))
+    staged = [
+        md.staged_macro_f1(model, fd.validation_rows(rows, fold)).withColumn("fold", F.lit(fold))
+        for fold, model in enumerate(md.cv_train(rows, md.TREES_A).models)
+    ]
+    return rounded(reduce(DataFrame.unionByName, staged))
 
 
 def _fault_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -552,48 +557,49 @@ def categorical_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = md.assemble(
         _fault_rows(spark, sf_dir), SCALARS, categorical=md.CATEGORICAL_INPUTS
     ).select("row_id", "label", "fold", md.FEATURES)
-    settings = replace(QUICK["a"], name="gbm", rows=1.0, columns="all")
+    settings = replace(BRIEF[0], name="gbm", rows=1.0, columns="all")
     return md.categorical_train(materialize(rows), settings).pooled_f1()
 
 
 @register
 def pseudo_label_train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The embeddings as labelled rows, and again as the unlabelled ones."""
-    rows = _training_rows(spark, sf_dir)
-    unlabelled = rows.select((-F.col("row_id") - 1).alias("row_id"), md.FEATURES)
-    run = ensembles.pseudo_label_train(rows, unlabelled, QUICK["b"], QUICK["a"])
+    """Labelled faults, and the unlabelled ones that the first models are sure about."""
+    labelled = md.assemble(_fault_rows(spark, sf_dir), SCALARS).select(
+        "row_id", "label", "fold", md.FEATURES
+    )
+    submit, logs = fixt.submit(spark, sf_dir), fixt.logs(spark, sf_dir)
+    features = lf.base_scalars_v2(lf.capped_messages(submit, logs, hs.slice_plan(submit, logs)))
+    unlabelled = md.assemble(features, SCALARS).select(
+        F.concat_ws("-", F.lit("submit"), "id", "server_model").alias("row_id"), md.FEATURES
+    )
+    run = ensembles.pseudo_label_train(materialize(labelled), materialize(unlabelled), md.TREES_B)
     return _oof_columns(run.oof)
 
 
 @register
 def stacking_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = ensembles.stacking_train(
-        _training_rows(spark, sf_dir), [QUICK["a"], QUICK["b"], QUICK["c"]],
-        replace(QUICK["a"], name="stacker"),
-    )
+    run = ensembles.stacking_train(_training_rows(spark, sf_dir))
     return _oof_columns(run.final.oof)
 
 
 @register
 def generic_stacker(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _training_rows(spark, sf_dir).drop("fold")
-    stacker = ensembles.Stacker([QUICK["a"], QUICK["b"]], QUICK["c"])
+    stacker = ensembles.Stacker(BRIEF, BRIEF[2])
     return stacker.fit_predict(rows, rows.drop("label"))
 
 
 @register
 def mlp_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fixt.labelled_vectors(spark, sf_dir)
-    return md.mlp_train(rows, "embedding", epochs=20).validation
+    return md.mlp_train(rows, "embedding").validation
 
 
 @register
 def pipeline_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features, training on the labelled faults, vote on the unlabelled ones."""
     logs = fixt.logs(spark, sf_dir)
-    run = pipeline.train(
-        fixt.faults(spark, sf_dir), logs, [QUICK["a"], QUICK["b"], QUICK["c"]]
-    )
+    run = pipeline.train(fixt.faults(spark, sf_dir), logs)
     models = {name: cv.models for name, cv in run.runs.items()}
     predicted = pipeline.predict(fixt.submit(spark, sf_dir), logs, run.artifacts, models)
     return predicted.drop("fault_time")
