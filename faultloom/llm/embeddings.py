@@ -14,11 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import array, map_rows, sample_ids
+from .common import SEED, array, map_rows
 from .graph import components
 
 THRESHOLD, TARGET_RECALL = 0.95, 0.995
-SAMPLE = 4096        # rows that codebooks and traversal depth are fitted on, at most
+SAMPLE = 4096        # rows that the traversal depth is measured on, at most
+CODE_ROWS = 50       # rows a codeword is trained on, at least, as far as the table has them
+FIT_TASKS = 8        # tasks of the k-means sample
 PER_CELL = 64        # rows of a cell on average, as far as MAX_CODES allows
 MAX_CODES = 1024     # codewords of a half
 BASE_CHUNK, PROBE_CHUNK = 256, 512
@@ -90,33 +92,52 @@ def _matrix(units) -> np.ndarray:
     return np.frombuffer(data, dtype=np.float64).reshape(len(units), -1)
 
 
+def _drawn(distinct: DataFrame, n: int, bound: int) -> DataFrame:
+    """The ``bound`` rows of the smallest hash, ``order``: the hash goes by the vector, so
+    the draw is the same however the rows lie."""
+    rows = distinct.select("unit", F.xxhash64(F.col("unit"), F.lit(SEED)).alias("order"))
+    if 1.2 * bound < n:  # all but a few more are left out before they are sorted
+        rows = rows.filter(F.col("order") < int(1.2 * bound / n * 2 ** 64) - 2 ** 63)
+    return materialize(rows.orderBy("order", "unit").limit(bound))
+
+
 def fit_index(distinct: DataFrame, n: int, threshold: float, target_recall: float, sample: int) -> MultiIndex:
-    """Codebooks by k-means on at most ``sample`` rows, one for each half. The depth is
-    the smallest at which that share of made-up worst partners (random directions at
-    exactly the threshold) would be met from either side."""
-    rows = sample_ids(distinct.select("key", "unit"), "key", sample).collect()
+    """Codebooks by k-means, one for each half, on ``sample`` rows or CODE_ROWS a codeword,
+    whichever is more. The depth is the smallest at which that share of made-up worst
+    partners (random directions at exactly the threshold) would be met from either side,
+    raised by two standard errors. It is measured on at most ``sample`` other rows: those
+    of the training lie unusually near their codewords."""
+    codes = max(1, min(MAX_CODES, math.ceil(math.sqrt(n / PER_CELL))))
+    unseen = min(sample, n // 4)
+    drawn = _drawn(distinct, n, unseen + max(sample, CODE_ROWS * codes))
+    rows = drawn.orderBy("order", "unit").limit(max(unseen, 1)).collect()
     x = _matrix([bytes(r["unit"]) for r in rows])
-    codes = max(1, min(MAX_CODES, math.ceil(math.sqrt(n / PER_CELL)), len(rows) // 4 or 1))
+    if unseen:  # else a table of three rows at most
+        drawn = drawn.filter(F.col("order") > rows[-1]["order"])
     half = (x.shape[1] + 1) // 2
-    spark = distinct.sparkSession
+
+    def halves(batch: pa.RecordBatch):
+        part = _matrix(array(batch, "unit").to_pylist()) if batch.num_rows else np.zeros((0, x.shape[1]))
+        yield {"a": list(part[:, :half]), "b": list(part[:, half:])}
+
+    points = materialize(map_rows(drawn.repartition(FIT_TASKS), halves, "a array<double>, b array<double>"))
     books = []
-    for part in (x[:, :half], x[:, half:]):
-        if part.shape[1] == 0:
+    for name, width in (("a", half), ("b", x.shape[1] - half)):
+        if width == 0:
             books.append(np.zeros((1, 0)))
             continue
-        points = spark.createDataFrame([(row.tolist(),) for row in part], "v array<double>")
-        points = points.select(array_to_vector("v").alias("features"))
-        model = KMeans(k=codes, seed=1, maxIter=10).fit(materialize(points))
-        books.append(np.array(model.clusterCenters()))
+        features = points.select(array_to_vector(name).alias("features"))
+        books.append(np.array(KMeans(k=codes, seed=1, maxIter=10).fit(materialize(features)).clusterCenters()))
     index = MultiIndex(tuple(books), 1)
     rng = np.random.default_rng(1)
-    x = x[:2048]
+    x = np.resize(x, (max(sample, len(x)), x.shape[1]))  # a small table's rows get several partners each
     side = rng.normal(size=x.shape)
     side -= (side * x).sum(1, keepdims=True) * x
     side /= np.maximum(np.linalg.norm(side, axis=1, keepdims=True), 1e-12)
     y = threshold * x + math.sqrt(1 - threshold ** 2) * side
     met = np.sort(np.minimum(index.rank(x, y), index.rank(y, x)))
-    index.depth = int(met[min(len(met) - 1, math.ceil(target_recall * len(met)) - 1)])
+    share = target_recall + 2 * math.sqrt(target_recall * (1 - target_recall) / len(met))
+    index.depth = int(met[min(len(met), math.ceil(share * len(met))) - 1])
     return index
 
 
@@ -221,8 +242,8 @@ def link_embeddings(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
 
     Rows link if their cosine, in double precision, is at least ``threshold``. Codebooks
     on both vector halves form a product grid; every vector visits its nearest cells in
-    multi-sequence order, as many as ``target_recall`` needs on a bounded sample, and
-    what it meets is verified exactly. A pair missed from both sides is missed.
+    multi-sequence order, as many as ``target_recall`` needs on a bounded sample that the
+    codebooks have not seen, and what it meets is verified exactly. A pair missed from both sides is missed.
 
     Null or zero vectors, null or non-finite components and vectors of another length
     than the commonest (of equally common ones the longest) link with nothing and stand

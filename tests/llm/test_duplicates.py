@@ -173,6 +173,22 @@ def test_embedding_recall(spark, small):
     assert 0.9 * there <= found <= there
 
 
+def test_depth_holds_for_unseen_vectors(spark, monkeypatch):
+    monkeypatch.setattr(em, "PER_CELL", 0.3)  # as many codewords as a table of millions
+    rng = np.random.default_rng(11)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    seen, fresh = unit(rng.normal(size=(20_000, 64))), unit(rng.normal(size=(2_000, 64)))
+    distinct = spark.createDataFrame([(i, bytearray(v.tobytes()), 1) for i, v in enumerate(seen)],
+                                     "key bigint, unit binary, n bigint")
+    index = em.fit_index(distinct, len(seen), em.THRESHOLD, em.TARGET_RECALL, em.SAMPLE)
+    assert len(index.books[0]) > 200
+    side = rng.normal(size=fresh.shape)
+    side = unit(side - (side * fresh).sum(1, keepdims=True) * fresh)
+    partner = em.THRESHOLD * fresh + np.sqrt(1 - em.THRESHOLD ** 2) * side
+    met = np.minimum(index.rank(fresh, partner), index.rank(partner, fresh)) <= index.depth
+    assert met.mean() >= 0.99
+
+
 ITEMS = [(1, "one two three four five six seven eight nine ten eleven twelve"), (2, "Short item"), (3, "item"), (4, ""),
          (5, None), (None, "alpha beta"), (6, "zero one two three four five six seven eight nine ten"),
          (7, "a a a a a a a a a a a a"), (1, "second text of item one with more than ten words in all of it")]
