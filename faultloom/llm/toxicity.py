@@ -108,71 +108,143 @@ HIDDEN = re.compile(rf"[{_SIGNS}]")
 REPEATED = re.compile(rf"({_LETTER})\1\1")
 TRAIL = re.compile(r"([^\w\s])\1\1+\Z")  # a decoration of three or more equal signs
 WORDS = re.compile(rf"{_LETTER}+")
-LONGEST = 40          # characters of a token that are decoded; longer ones are no words
+NEW_WORD = 4.0        # cost of a word outside the vocabulary, in nats, beside that of its letters
+VOCABULARY = 30_000   # words that rows of single characters are split into, at most
+MEMO_CHARS = 80       # longer tokens are decoded each time they occur
 
 
 @dataclass
 class Decoder:
-    """Viterbi decoding of a token's character lattice under the language model."""
+    """Viterbi decoding of a token's character lattice under the language model. A row
+    of single characters is then split into words, if there is a ``vocabulary`` (cost of
+    a word, in nats): trigrams of characters alone do not tell where a word ends."""
 
     model: np.ndarray
+    vocabulary: dict[str, float] = field(default_factory=dict)
     memo: dict[str, str] = field(default_factory=dict)
     room: int = 50_000
+    slots: dict[tuple[str, int], list[tuple[str, list[int], float]]] = field(default_factory=dict)
+
+    def __post_init__(self) -> None:
+        self.longest = max(map(len, self.vocabulary), default=0)
 
     def __call__(self, token: str) -> str:
+        if len(token) > MEMO_CHARS:
+            return self._read(token)
         known = self.memo.get(token)
         if known is None:
             if len(self.memo) >= self.room:
                 self.memo.clear()
-            known = self.memo[token] = self._decode(token)
+            known = self.memo[token] = self._read(token)
         return known
 
-    def lattice(self, token: str) -> list[list[tuple[str, float]]]:
-        """For each run of one sign, what it may stand for and at which cost."""
-        slots = []
+    def _read(self, token: str) -> str:
+        text = self._decode(token)
+        return " ".join(self.split(text)) if " " in token and self.vocabulary else text
+
+    def split(self, text: str) -> list[str]:
+        """The cheapest words that make up the text: known ones at their cost, others at
+        that of their letters and NEW_WORD. Linear in the text."""
+        logp, kinds, known = self.model, classes(text).tolist(), self.vocabulary
+        # best[j]: cheapest words of text[:j], and where the last one begins; new: cheapest
+        # unfinished new word by its letters so far (one, two, more), with its beginning
+        best, none = [(0.0, 0)], (math.inf, 0)
+        new = [none, none, none]
+        for j in range(1, len(text) + 1):
+            k = kinds[j - 1]
+            b = kinds[j - 2] if j > 1 else 0
+            a = kinds[j - 3] if j > 2 else 0
+            one = (best[j - 1][0] + NEW_WORD - logp[0, 0, k], j - 1)
+            two = (new[0][0] - logp[0, b, k], new[0][1])
+            more = min(new[1], new[2])
+            new = [one, two, (more[0] - logp[a, b, k], more[1])]
+            ends = [(one[0] - logp[0, k, 0], one[1]), *((c - logp[b, k, 0], i) for c, i in new[1:])]
+            for i in range(max(0, j - self.longest), j):
+                cost = known.get(text[i:j])
+                if cost is not None:
+                    ends.append((best[i][0] + cost, i))
+            best.append(min(ends))
+        words, j = [], len(text)
+        while j:
+            i = best[j][1]
+            words.append(text[i:j])
+            j = i
+        return words[::-1]
+
+    def lattice(self, token: str) -> Iterator[list[tuple[str, list[int], float]]]:
+        """For each run of one sign, what it may stand for, its classes and its cost."""
+        if len(self.slots) > self.room:
+            self.slots.clear()
         for run in re.finditer(r"(.)\1*", token, re.S):
-            c, n = run[1], len(run[0])
-            if c in " .-_*":
-                slots.append([("", DROP)])
-                continue
-            letters = [(x, SWAP) for x in LEET.get(c, "")] + [(c, 0.0 if c.isalpha() else LITERAL)]
-            lengths = {1: 0.0} if n == 1 else {1: SHORTEN * (n > 2) + 0.4 * (n == 2), 2: 0.0 if n == 2 else SHORTEN}
-            slots.append([(x * k, cost * min(n, 2) + more) for x, cost in letters for k, more in lengths.items()])
-        return slots
+            key = run[1], min(run.end() - run.start(), 3)  # longer runs are as three
+            slot = self.slots.get(key)
+            if slot is None:
+                slot = self.slots[key] = [(out, classes(out).tolist() if out else [], cost)
+                                          for out, cost in self._slot(*key)]
+            yield slot
+
+    def _slot(self, c: str, n: int) -> list[tuple[str, float]]:
+        if c in " .-_*":
+            return [("", DROP)]
+        letters = [(x, SWAP) for x in LEET.get(c, "")] + [(c, 0.0 if c.isalpha() else LITERAL)]
+        lengths = {1: 0.0} if n == 1 else {1: SHORTEN * (n > 2) + 0.4 * (n == 2), 2: 0.0 if n == 2 else SHORTEN}
+        return [(x * k, cost * min(n, 2) + more) for x, cost in letters for k, more in lengths.items()]
 
     def _decode(self, token: str) -> str:
-        """The cheapest path; equal costs go to the alphabetically first text."""
-        logp, states = self.model, {(0, 0): (0.0, "")}
+        """The cheapest path; equal costs go to the alphabetically first text. A path is a
+        chain of back pointers, which paths share up to where they part: time and memory
+        are linear in the token."""
+        logp, states = self.model, {(0, 0): (0.0, None)}
         for slot in self.lattice(token):
-            after: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (cost, text) in states.items():
-                for out, price in slot:
+            after: dict[tuple[int, int], tuple[float, tuple]] = {}
+            for (a, b), (cost, path) in states.items():
+                for out, kinds, price in slot:
                     x, y, c = a, b, cost + price
-                    for k in classes(out).tolist() if out else ():
+                    for k in kinds:
                         c -= logp[x, y, k]
                         x, y = y, k
-                    new = (c, text + out)
-                    if (x, y) not in after or new < after[x, y]:
-                        after[x, y] = new
+                    best = after.get((x, y))
+                    if best is None or c < best[0] or c == best[0] and _before((path, out), best[1]):
+                        after[x, y] = (c, (path, out))
             states = after
-        return min((c - logp[a, b, 0], t) for (a, b), (c, t) in states.items())[1]
+        ends = [(c - logp[a, b, 0], path) for (a, b), (c, path) in states.items()]
+        cost, path = ends[0]
+        for c, other in ends[1:]:
+            if c < cost or c == cost and _before(other, path):
+                cost, path = c, other
+        return _spelled(path)
+
+
+def _spelled(path: tuple | None, until: tuple | None = None) -> str:
+    parts = []
+    while path is not until:
+        path, out = path
+        parts.append(out)
+    return "".join(reversed(parts))
+
+
+def _before(one: tuple | None, other: tuple | None) -> bool:
+    """Whether the text of a path is alphabetically before that of another as long."""
+    p, q = one, other
+    while p is not q:
+        p, q = p[0], q[0]
+    return _spelled(one, p) < _spelled(other, p)
 
 
 def spell_out(token: str, decode: Decoder) -> list[str]:
     """Words of a lower-cased token, decoded if it looks disguised: signs among letters,
     three equal letters in a row, or separated single characters."""
     token = TRAIL.sub("", token).strip(".,;:?()[]{}\"'").rstrip("!")
-    if len(token) <= LONGEST and (
-            HIDDEN.search(token) and WORDS.search(token) or REPEATED.search(token) or DOTTED.match(token)):
+    if HIDDEN.search(token) and WORDS.search(token) or REPEATED.search(token) or DOTTED.match(token):
         token = decode(token)
     return WORDS.findall(token)
 
 
 def tokens(text: str, decode: Decoder) -> list[str]:
-    """Lower-cased tokens; a row of single characters is decoded into one."""
+    """Lower-cased tokens; a row of single characters is decoded into its words."""
     text = text.lower()
     if SPACED.search(text):
-        text = SPACED.sub(lambda m: decode(m[0]) if len(m[0]) <= 2 * LONGEST else m[0], text)
+        text = SPACED.sub(lambda m: decode(m[0]), text)
     return text.split()
 
 
@@ -196,9 +268,10 @@ class ToxicityModel:
     language: np.ndarray
     weights: dict[str, tuple[int, float]]
     dense: tuple[float, float, float]  # of hit share, of log hits, intercept
+    vocabulary: dict[str, float] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        self.decode = Decoder(self.language)
+        self.decode = Decoder(self.language, self.vocabulary)
         self.known: dict[str, tuple[str, ...]] = {}
 
     def hits(self, text: str | None) -> tuple[dict[str, int], float, float]:
@@ -228,6 +301,25 @@ class ToxicityModel:
         return 1 / (1 + math.exp(-max(-35.0, min(35.0, z))))
 
 
+def _entry_counts(rows: DataFrame, language: np.ndarray, vocabulary: dict[str, float]) -> DataFrame:
+    """``(entry, clean, toxic)``: rows of each class that hold the entry."""
+    shared = rows.sparkSession.sparkContext.broadcast((language, vocabulary))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decode, seen = Decoder(*shared.value), {}
+        for batch in batches:
+            for text, y in zip(column(batch, "text"), column(batch, "y")):
+                words = set(restore(text, decode)) if text else ()
+                for e in {e for w in words for e in entries(w)}:
+                    seen.setdefault(e, [0, 0])[y] += 1
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(seen), pa.string()), pa.array([v[0] for v in seen.values()], pa.int64()),
+             pa.array([v[1] for v in seen.values()], pa.int64())], names=["entry", "clean", "toxic"])
+
+    return rows.mapInArrow(count, "entry string, clean bigint, toxic bigint").groupBy("entry").agg(
+        F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  label_col: str = "toxic", train_rows: int = TRAIN_ROWS, features: int = FEATURES) -> ToxicityModel:
     """Language model over all documents; lexicon and weights from at most
@@ -248,27 +340,20 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     if not n0 or not n1:
         p = (n1 + 1) / (n0 + n1 + 2)
         return ToxicityModel(language, {}, (0.0, 0.0, math.log(p / (1 - p))))
-    shared = spark.sparkContext.broadcast(language)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode, seen = Decoder(shared.value), {}
-        for batch in batches:
-            for text, y in zip(column(batch, "text"), column(batch, "y")):
-                words = set(restore(text, decode)) if text else ()
-                for e in {e for w in words for e in entries(w)}:
-                    seen.setdefault(e, [0, 0])[y] += 1
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(seen), pa.string()), pa.array([v[0] for v in seen.values()], pa.int64()),
-             pa.array([v[1] for v in seen.values()], pa.int64())], names=["entry", "clean", "toxic"])
-
-    counts = rows.mapInArrow(count, "entry string, clean bigint, toxic bigint").groupBy("entry").agg(
-        F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = _entry_counts(rows, language, {})
+    # what may be an entry comes first, so that no row is split within it
+    words = counts.filter("entry not like '%-' and clean + toxic > 1").orderBy(
+        F.desc(F.col("toxic") >= MIN_TOXIC), F.desc(F.col("clean") + F.col("toxic")), "entry").limit(VOCABULARY)
+    seen = {r["entry"]: r["clean"] + r["toxic"] for r in words.collect()}
+    total = sum(seen.values())
+    vocabulary = {w: math.log(total / n) for w, n in seen.items()}
+    counts = _entry_counts(rows, language, vocabulary)
     # log odds, shrunk by their standard error
     c, t = F.col("clean") + 0.5, F.col("toxic") + 0.5
     odds = F.log(t / (n1 + 1 - t)) - F.log(c / (n0 + 1 - c)) - 2 * F.sqrt(1 / t + 1 / c)
     top = counts.filter(F.col("toxic") >= MIN_TOXIC).withColumn("odds", odds).filter("odds > 1")
     lexicon = [r["entry"] for r in top.orderBy(F.desc("odds"), "entry").limit(features).collect()]
-    model = ToxicityModel(language, {e: (i, 0.0) for i, e in enumerate(sorted(lexicon))}, (0.0, 0.0, 0.0))
+    model = ToxicityModel(language, {e: (i, 0.0) for i, e in enumerate(sorted(lexicon))}, (0.0, 0.0, 0.0), vocabulary)
     ready = spark.sparkContext.broadcast(model)
     size = len(model.weights) + 2
 
@@ -286,7 +371,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     fitted = LogisticRegression(regParam=0.002, elasticNetParam=0.0, maxIter=60, standardization=True).fit(points)
     w = fitted.coefficients.toArray()
     return ToxicityModel(language, {e: (i, float(w[i])) for e, (i, _) in model.weights.items()},
-                         (float(w[size - 2]), float(w[size - 1]), float(fitted.intercept)))
+                         (float(w[size - 2]), float(w[size - 1]), float(fitted.intercept)), vocabulary)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -100,6 +100,21 @@ def test_disguised_words(spark, texts, token, word):
     assert found == [w for w in ("so", word, "then") if w]
 
 
+def test_long_disguises_and_rows_of_words(spark, texts):
+    words = "idiot moron scum stoopid plain the and you are a " * 30
+    model = toxicity.language_model(texts([(1, words)]))
+    decode = toxicity.Decoder(model, {w: 2.0 for w in words.split()})
+    assert toxicity.restore("m" + "o" * 60 + "ron", decode) == ["moron"]
+    assert toxicity.restore("m.0.r.o.n" + "!" * 50, decode) == ["moron"]
+    assert toxicity.restore("you are a m o r o n", decode) == ["you", "are", "a", "moron"]
+    row = ["you", "are", "a", "moron", "and", "the", "plain", "scum"] * 20  # over 40 characters
+    assert toxicity.restore(" ".join("".join(row)), decode) == row
+    assert toxicity.restore("i d i o t", decode) == ["idiot"]
+    assert decode.split("xyzzyq") == ["xyzzyq"]
+    long = "m0r0n" * 20_000  # linear: copied strings would take minutes
+    assert len(decode(long)) == len(long)
+
+
 def test_trigram_counts_do_not_depend_on_stretches():
     def trigrams(parts):
         seen = {}
