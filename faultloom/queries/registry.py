@@ -6,7 +6,6 @@ Doubles are rounded to six digits, so that both engines of the check agree.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
 from functools import reduce
 from uuid import uuid4
 
@@ -33,9 +32,6 @@ REGISTRY: dict[str, Query] = {}
 
 FAULT = ["sn", "fault_time_ts", "label"]
 DIGITS = 6
-# The two queries whose models have no early stop run 3 rounds of depth 3, not the
-# library's 100 of depth 5-6: fold models without a stop take too long for a check.
-BRIEF = [replace(s, rounds=3, depth=3, min_rows=1) for s in md.ENSEMBLE]
 
 
 def register(query: Query) -> Query:
@@ -557,8 +553,7 @@ def categorical_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = md.assemble(
         _fault_rows(spark, sf_dir), SCALARS, categorical=md.CATEGORICAL_INPUTS
     ).select("row_id", "label", "fold", md.FEATURES)
-    settings = replace(BRIEF[0], name="gbm", rows=1.0, columns="all")
-    return md.categorical_train(materialize(rows), settings).pooled_f1()
+    return md.categorical_train(materialize(rows)).pooled_f1()
 
 
 @register
@@ -585,7 +580,7 @@ def stacking_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def generic_stacker(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _training_rows(spark, sf_dir).drop("fold")
-    stacker = ensembles.Stacker(BRIEF, BRIEF[2])
+    stacker = ensembles.Stacker(md.ENSEMBLE, md.TREES_C)
     return stacker.fit_predict(rows, rows.drop("label"))
 
 

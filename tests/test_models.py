@@ -10,6 +10,7 @@ from faultloom.operators import folds as fd
 from faultloom.operators import models as md
 from faultloom.operators import scores as sc
 from faultloom.plans import ensembles, features, pipeline
+from faultloom.queries import registry
 from faultloom.session import materialize
 
 from helpers import fault_table, log_table
@@ -183,3 +184,22 @@ def test_train_evaluate_predict_from_files(spark, tables, tmp_path):
     pipeline.predict_files(spark, paths["faults"], paths["logs"], paths["run"], paths["out"], k=K)
     out = readers.read_csv_union(spark, paths["out"], {"label": "double"}).collect()
     assert len(out) == 120 and {r["label"] for r in out} <= {0.0, 1.0, 2.0, 3.0}
+
+
+@pytest.mark.parametrize("name", ["categorical_trees", "generic_stacker"])
+def test_registered_fits_have_the_library_settings(spark, small, monkeypatch, name):
+    class Stop(Exception):
+        pass
+
+    seen = []
+
+    def folds(rows, settings, *args, **kwargs):
+        seen.append(settings)
+        raise Stop
+
+    monkeypatch.setattr(md, "fit_folds", folds)
+    with pytest.raises(Stop):
+        registry.REGISTRY[name](spark, small)
+    library = {s.name: (s.rounds, s.depth, s.min_rows) for s in (*md.ENSEMBLE, md.TREES_A)}
+    library["gbm"] = library["a"]
+    assert seen and all((s.rounds, s.depth, s.min_rows) == library[s.name] and s.rounds == 100 for s in seen)
