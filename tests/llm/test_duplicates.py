@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 
@@ -173,6 +174,24 @@ def test_embedding_recall(spark, small):
     assert 0.9 * there <= found <= there
 
 
+def test_embedding_recall_of_planted_partners(spark):
+    """Default parameters, isotropic rows, partners at cosine 0.95 to 0.97, dozens of codewords."""
+    n, planted, d = 40_000, 4_000, 64
+    rng = np.random.default_rng(21)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = unit(rng.normal(size=(n, d)))
+    side = rng.normal(size=(planted, d))
+    side = unit(side - (side * x[:planted]).sum(1, keepdims=True) * x[:planted])
+    cos = rng.uniform(0.95, 0.97, size=(planted, 1))
+    x = np.concatenate([x, cos * x[:planted] + np.sqrt(1 - cos ** 2) * side])
+    there = sum(int(((x[i:i + 4000] @ x.T) >= 0.95).sum()) for i in range(0, len(x), 4000)) - len(x)
+    frame = pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist()})
+    vectors = spark.createDataFrame(frame, "vec_id bigint, embedding array<double>").repartition(8)
+    assert there >= 2 * 0.99 * planted
+    found = sum(r.n_links for r in em.link_embeddings(vectors).collect())
+    assert 0.985 * there <= found <= there
+
+
 def test_depth_holds_for_unseen_vectors(spark, monkeypatch):
     monkeypatch.setattr(em, "PER_CELL", 0.3)  # as many codewords as a table of millions
     rng = np.random.default_rng(11)
