@@ -3,11 +3,12 @@ import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path[:0] = [os.path.dirname(HERE), HERE]
 
-from faultloom.session import build_session, ensure_checkpoint_dir  # noqa: E402
+from helpers import SMALL  # noqa: E402
 
-SMALL = "/root/testdata/sf0.001"
+from faultloom.session import build_session, ensure_checkpoint_dir  # noqa: E402
 
 
 @pytest.fixture(scope="session")

@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry_points
 from faultloom.queries import oracles, registry
 
-from conftest import SMALL
+from helpers import SMALL
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
