@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir, materialize
 from .common import LOWER, UPPER, fold_of, table
 from .decontaminate import find_contamination
+from .divergence import divergence_audit
 from .embeddings import link_embeddings
 from .langid import fit_language, predict_language
+from .manifest import fold, manifest, proof
+from .mixing import mix_sources
+from .oracles import DIVERGENCE, MANIFEST
 from .pii import find_personal_data
 from .secrets import find_secrets
 from .sentencepiece_scan import encode, load_pieces
@@ -130,6 +134,28 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_embeddings(table(spark, sf_dir, "embeddings"))
 
 
+@register
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence_audit(table(spark, sf_dir, "documents"))
+
+
+@register
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = manifest(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", proof(F.col("path")).alias("proof_sha256"),
+        fold(F.col("path"), F.col("altered")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@register
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
+LLM_ORACLES["op11_source_divergence"] = DIVERGENCE
+LLM_ORACLES["op12_merkle_manifest"] = MANIFEST
+
 LLM_ORACLES["op7_url_filter"] = f"""
 WITH cut AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages
