@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -127,6 +128,9 @@ def fit_index(distinct: DataFrame, n: int, threshold: float, target_recall: floa
             books.append(np.zeros((1, 0)))
             continue
         features = points.select(array_to_vector(name).alias("features"))
+        if codes == 1:  # k-means wants two; of one codeword it is the mean
+            books.append(np.array([features.select(Summarizer.mean("features")).first()[0]]))
+            continue
         books.append(np.array(KMeans(k=codes, seed=1, maxIter=10).fit(materialize(features)).clusterCenters()))
     index = MultiIndex(tuple(books), 1)
     rng = np.random.default_rng(1)

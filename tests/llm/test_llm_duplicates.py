@@ -164,6 +164,16 @@ def test_embeddings(spark, monkeypatch, chunk):
     assert all((r.n_links, r.component_id, r.kept) == (0, r.vec_id, True) for r in nothing)
 
 
+@pytest.mark.parametrize("n, distinct", [(1, 1), (2, 2), (3, 3), (64, 64), (65, 65), (200, 1), (70, 64)])
+def test_small_tables_of_embeddings(spark, n, distinct):
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(distinct, 8))
+    rows = [(i, x[i % distinct].tolist()) for i in range(n)]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in em.link_embeddings(
+        spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+    assert got == brute_vectors(rows)
+
+
 def test_embedding_recall(spark, small):
     rows = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet(f"{small.replace('0.001', '0.01')}/embeddings.parquet").collect()]
     x = np.array([v for _, v in rows], dtype=float)
