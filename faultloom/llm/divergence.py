@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import array, map_rows
+from .common import array, bound_batches
 from .ordering import join_small
 
 GAP = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"  # what separates terms
 LEAST_DOCS, TOP = 3, 200
 SCALE = 1_000_000_000
-SLICE_BYTES = 8_000_000  # of text that a task splits at a time
+SLICE_BYTES = 4_000_000  # of text that a task splits at a time
+HELD = 1_000_000         # counts a task holds
 
 
 def _slices(texts: pa.Array, keys: list[pa.Array]):
@@ -30,35 +33,63 @@ def _slices(texts: pa.Array, keys: list[pa.Array]):
         yield texts.slice(start), [k.slice(start) for k in keys]
 
 
-def _terms(batch: pa.RecordBatch):
+KEYS = ["lang", "source", "term"]
+COUNTS = "lang string, source string, term string, n bigint, docs bigint"
+
+
+def _terms(batch: pa.RecordBatch) -> Iterator[pa.Table]:
     """Occurrences and documents of each term by language and source, a row a term and slice."""
     for texts, (lang, source) in _slices(array(batch, "text"), [array(batch, "lang"), array(batch, "source")]):
         words = pc.split_pattern_regex(pc.ascii_lower(texts), GAP)
         at = pa.table({"doc": pc.list_parent_indices(words), "term": pc.list_flatten(words)})
         at = at.filter(pc.not_equal(at["term"], ""))
-        if not at.num_rows:
-            continue
-        each = at.group_by(["doc", "term"]).aggregate([([], "count_all")])
-        each = pa.table({"term": each["term"], "n": each["count_all"],
-                         "lang": pc.take(lang, each["doc"]), "source": pc.take(source, each["doc"])})
-        found = each.group_by(["lang", "source", "term"]).aggregate([("n", "sum"), ([], "count_all")])
-        yield {"lang": found["lang"].combine_chunks(), "source": found["source"].combine_chunks(),
-               "term": found["term"].combine_chunks(), "n": found["n_sum"].combine_chunks(),
-               "docs": found["count_all"].combine_chunks()}
+        if at.num_rows:
+            each = at.group_by(["doc", "term"]).aggregate([([], "count_all")])
+            each = pa.table({"lang": pc.take(lang, each["doc"]), "source": pc.take(source, each["doc"]),
+                             "term": each["term"], "n": each["count_all"]})
+            found = each.group_by(KEYS).aggregate([("n", "sum"), ([], "count_all")])
+            yield found.select([*KEYS, "n_sum", "count_all"]).rename_columns([*KEYS, "n", "docs"])
+
+
+def _added(parts: list[pa.Table]) -> pa.Table:
+    if len(parts) == 1:
+        return parts[0]
+    whole = pa.concat_tables(parts).group_by(KEYS).aggregate([("n", "sum"), ("docs", "sum")])
+    return whole.select([*KEYS, "n_sum", "docs_sum"]).rename_columns([*KEYS, "n", "docs"])
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """``(lang, source, term, n, docs)``: occurrences and documents, pre-aggregated by the
-    tasks, so that a word of every text is one row a slice before the shuffle."""
-    rows = map_rows(docs, _terms, "lang string, source string, term string, n bigint, docs bigint")
-    return rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    """``(lang, source, term, n, docs)``: occurrences and documents.
+
+    A task adds up its own counts and hands them on when they are HELD rows, so a word of
+    every text is a row or a few a task. They are dealt out by language and term, and so
+    are the results: what follows by that key needs no further exchange.
+    """
+    bound_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for batch in batches:
+            for found in _terms(batch):
+                held.append(found)
+                if sum(t.num_rows for t in held) >= HELD:
+                    held = [_added(held)]
+                    if held[0].num_rows >= HELD // 2:
+                        yield from held.pop().combine_chunks().to_batches()
+        if held:
+            yield from _added(held).combine_chunks().to_batches()
+
+    rows = docs.mapInArrow(run, COUNTS)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "lang", "term").groupBy(*KEYS).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def _p(count: Column, n: Column, v: Column) -> Column:
-    """1 + floor(SCALE * (count + 1) / (n + v)), exact beyond 64 bits."""
+    """1 + floor(SCALE * (count + 1) / (n + v)); exact, beyond 64 bits by decimals."""
+    small = F.call_function("div", F.lit(SCALE) * (count + 1), F.nullif(n + v, F.lit(0)))
     top = F.lit(SCALE).cast("decimal(10,0)") * (count + 1).cast("decimal(19,0)")
-    bottom = F.nullif((n + v).cast("decimal(19,0)"), F.lit(0).cast("decimal(19,0)"))
-    return 1 + F.call_function("div", top, bottom)
+    large = F.call_function("div", top, F.nullif((n + v).cast("decimal(19,0)"), F.lit(0).cast("decimal(19,0)")))
+    return 1 + F.when(count < 2 ** 63 // SCALE - 1, small).otherwise(large)
 
 
 def _f(p: Column, q: Column) -> Column:
@@ -90,8 +121,7 @@ def divergence_audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = T
     """
     rows = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(name) for c, name in
                          ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))])
-    counts = materialize(term_counts(rows))
-    by_term = counts.groupBy("lang", "term").agg(
+    by_term = term_counts(rows).groupBy("lang", "term").agg(
         F.sum("n").alias("whole"), F.sum("docs").alias("docs"),
         # at most one entry a source, of which the language's pairs have the square
         F.array_sort(F.collect_list(F.struct("source", "n"))).alias("uses"))
@@ -107,21 +137,18 @@ def divergence_audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = T
 
 
 def _pairs(kept: DataFrame, uses: DataFrame, groups: DataFrame, n_groups: int, few: int) -> DataFrame:
-    other = groups.select("lang", *[F.col(c).alias(f"other_{c}") for c in ("source", "group_n", "distinct")])
+    zero = F.lit(0).cast("bigint")
+    about = groups.select("lang", "source", "group_n", "distinct", "v",
+                          _p(zero, F.col("group_n"), F.col("v")).alias("p0"))
+    other = about.select("lang", F.col("source").alias("other_source"), F.col("group_n").alias("other_n"),
+                         F.col("distinct").alias("other_distinct"), F.col("p0").alias("q0"))
     # every pair is a row of the result; large lists of sources are dealt out over salts
     salts = 1 + n_groups // 1000
-    pairs = groups.withColumn("_salt", F.pmod(F.xxhash64("source"), F.lit(salts))).join(
+    pairs = about.withColumn("_salt", F.pmod(F.xxhash64("source"), F.lit(salts))).join(
         other.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["lang", "_salt"]
     ).filter("source <> other_source").drop("_salt")
     pairs = materialize(pairs)
     n_pairs = pairs.count()
-
-    def f(mine: Column, others: Column) -> Column:
-        p = _p(mine, F.col("group_n"), F.col("v"))
-        q = _p(others, F.col("other_group_n"), F.col("v"))
-        return _f(p, q)
-
-    zero = F.lit(0).cast("bigint")
     keys = ["lang", "source", "other_source"]
     # cells of two counts above 0, from patterns of equal counts
     patterns = kept.groupBy("lang", "uses").agg(F.count("*").alias("m"))
@@ -135,19 +162,22 @@ def _pairs(kept: DataFrame, uses: DataFrame, groups: DataFrame, n_groups: int, f
                            F.col("ny").alias("others"), "m").unionByName(
         cells.select("lang", F.col("y").alias("source"), F.col("x").alias("other_source"), F.col("ny").alias("mine"),
                      F.col("nx").alias("others"), "m"))
-    # a shared term counts with f(mine, others); the sums over single sources have taken
-    # it for f(mine, 0) and f(0, others), and the number of unused terms for -1 x f(0, 0)
-    mine, others = F.col("mine"), F.col("others")
-    shared = join_small(ordered, pairs, keys, n_pairs, few).select(
-        *keys, (F.col("m") * (f(mine, others) - f(mine, zero) - f(zero, others) + f(zero, zero))).alias("value"))
+    # a shared term counts with f(p, q); the sums over single sources have taken it for
+    # f(p, q0) and f(p0, q), and the number of unused terms for -1 x f(p0, q0)
+    p, q, p0, q0 = F.col("p"), F.col("q"), F.col("p0"), F.col("q0")
+    shared = join_small(ordered, pairs, keys, n_pairs, few).withColumns({
+        "p": _p(F.col("mine"), F.col("group_n"), F.col("v")), "q": _p(F.col("others"), F.col("other_n"), F.col("v"))})
+    shared = shared.select(*keys, (F.col("m") * (_f(p, q) - _f(p, q0) - _f(p0, q) + _f(p0, q0))).alias("value"))
     singles = uses.groupBy("lang", "source", "n").agg(F.count("*").alias("m"))
+    singles = join_small(singles, about.select("lang", "source", "group_n", "v"), ["lang", "source"], n_groups, few)
+    singles = materialize(singles.select("lang", "source", "m", _p(F.col("n"), F.col("group_n"), F.col("v")).alias("p")))
     alone = _matched(pairs, singles, ["lang", "source"], n_pairs, few).select(
-        *keys, (F.col("m") * f(F.col("n"), zero)).alias("value"))
-    turned = singles.withColumnRenamed("source", "other_source")
+        *keys, (F.col("m") * _f(p, q0)).alias("value"))
+    turned = singles.select("lang", F.col("source").alias("other_source"), "m", F.col("p").alias("q"))
     absent = _matched(pairs, turned, ["lang", "other_source"], n_pairs, few).select(
-        *keys, (F.col("m") * f(zero, F.col("n"))).alias("value"))
+        *keys, (F.col("m") * _f(p0, q)).alias("value"))
     unused = F.col("v") - F.col("distinct") - F.col("other_distinct")
-    rest = pairs.select(*keys, F.when(F.col("v") > 0, unused * f(zero, zero)).otherwise(F.lit(0)).alias("value"))
+    rest = pairs.select(*keys, F.when(F.col("v") > 0, unused * _f(p0, q0)).otherwise(zero).alias("value"))
     summed = shared.unionByName(alone).unionByName(absent).unionByName(rest).groupBy(*keys).agg(
         F.sum("value").cast("bigint").alias("value"))
     by_value = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "other_source")
