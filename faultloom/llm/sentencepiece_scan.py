@@ -29,8 +29,9 @@ from .common import array, column, map_rows
 
 BLANK = "▁"
 CHUNK = 16_384        # characters; longer texts are encoded in chunks
-MEMO = 300_000        # words a task remembers
-ROW = 2_000           # neighbours it remembers of a piece, of which there are no more than the model has
+MEMO = 150_000        # words a task remembers, and as many of those before them
+MEMO_CHARS = 64       # longer words are encoded each time they occur
+PAIRS = 1_000_000     # pairs of neighbours a task remembers
 State = tuple[int, int]  # an arc at a border: characters before it, characters behind it
 Matrix = dict[State, frozenset]
 
@@ -48,18 +49,21 @@ class Pieces:
     joined: frozenset = frozenset()
     words: re.Pattern | None = None
     memo: dict[str, bytes] = field(default_factory=dict)
+    older: dict[str, bytes] = field(default_factory=dict)
     pairs: dict[str, dict[str, bool]] = field(default_factory=dict)
+    n_pairs: int = 0
     halves: dict[str, tuple[str, str] | None] = field(default_factory=dict)
-    tree: dict = field(default_factory=dict)
+    tree: dict[str, list] = field(default_factory=dict)  # character -> [piece or None, tree]
     apart: bool = False
 
     def __post_init__(self) -> None:
         self.longest = max(map(len, self.rank), default=1)
         for p in self.rank:
-            node = self.tree
+            tree = self.tree
             for c in p:
-                node = node.setdefault(c, {})
-            node[""] = p
+                node = tree.setdefault(c, [None, {}])
+                tree = node[1]
+            node[0] = p
         self.joined = frozenset(p[i:i + 2] for p in self.rank for i in range(len(p) - 1))
         # between two characters that no piece joins, encodings do not depend on one
         # another: at blanks that follow another sign, and around line breaks
@@ -119,8 +123,12 @@ class Pieces:
                 known = self.merge(left + right) == [left, right]
             else:
                 known = self._apart(left, right)
-            if len(row) < ROW:
-                row[right] = known
+            if self.n_pairs >= PAIRS:
+                self.pairs.clear()
+                self.n_pairs = 0
+                row = self.pairs[left] = {}
+            row[right] = known
+            self.n_pairs += 1
         return known
 
     def _apart(self, left: str, right: str) -> bool:
@@ -186,45 +194,55 @@ class Pieces:
         No border is reached twice: its path from the begin is unique. So this visits
         borders that ``forward`` visits as well, but mostly only those of the result.
         """
-        pairs, follows, n = self.pairs, self.follows, len(s)
+        pairs, follows, tree, longest, n = self.pairs, self.follows, self.tree, self.longest, len(s)
         path: list[str] = [""]
-        starts, tries = [0], [self._arcs(s, 0)]
-        while (start := starts[-1]) < n:
+        starts, tries = [0], []
+        start, fresh = 0, True
+        while start < n:
+            if fresh:  # pieces at this border, the longest last; an unknown character is one
+                arcs, children = [], tree
+                for c in s[start:start + longest]:
+                    node = children.get(c)
+                    if node is None:
+                        break
+                    piece, children = node
+                    if piece is not None:
+                        arcs.append(piece)
+                if not arcs or len(arcs[0]) > 1:
+                    arcs.insert(0, s[start])
+                tries.append(arcs)
             left, arcs = path[-1], tries[-1]
-            row = pairs.get(left) or {}
+            row = pairs.get(left)
+            fresh = False
             while arcs:
                 piece = arcs.pop()
-                ok = row.get(piece)
+                ok = row.get(piece) if row is not None else None
                 if ok or ok is None and follows(left, piece):
                     start += len(piece)
                     starts.append(start)
-                    tries.append(self._arcs(s, start))
                     path.append(piece)
+                    fresh = True
                     break
             else:
-                starts.pop()
                 tries.pop()
+                starts.pop()
                 path.pop()
+                start = starts[-1]
         return path[1:]
 
-    def _arcs(self, s: str, start: int) -> list[str]:
-        """Pieces at a border, the longest last; an unknown character is one."""
-        node, found = self.tree, []
-        for c in s[start:start + self.longest]:
-            node = node.get(c)
-            if node is None:
-                break
-            if "" in node:
-                found.append(node[""])
-        if not found or len(found[0]) > 1:
-            found.insert(0, s[start:start + 1])
-        return found
-
     def word(self, word: str) -> bytes:
-        """Ids of a stretch that no piece joins with its neighbours, as int32."""
-        found = self.to_ids(self.one_path(word))
-        if len(word) <= 64:
+        """Ids of a stretch that no piece joins with its neighbours, as int32.
+
+        What is remembered comes in two generations: when the younger one is full it
+        becomes the older, and what is looked up there moves up again.
+        """
+        found = self.older.get(word)
+        if found is None:
+            found = self.to_ids(self.one_path(word))
+        if len(word) <= MEMO_CHARS:
             if len(self.memo) >= MEMO:
+                # in place: callers hold on to the younger generation
+                self.older = dict(self.memo)
                 self.memo.clear()
             self.memo[word] = found
         return found
@@ -437,6 +455,8 @@ PART = "key bigint, k int, s string, a int, b int, final boolean"
 
 
 def _encode_long(giants: DataFrame, shared, names: list[str], head: str, chunk: int) -> DataFrame:
+    spark = giants.sparkSession
+
     def split(batch: pa.RecordBatch):
         own = shared.value
         # the columns that are kept go with the first chunk only
@@ -483,7 +503,9 @@ def _encode_long(giants: DataFrame, shared, names: list[str], head: str, chunk:
     chunks = materialize(rows.repartition(F.xxhash64("key", "k")))
     cells = map_rows(chunks.select("key", "k", "s", "a", "b", "final"), matrix,
                      "key bigint, k int, cells array<struct<i:int,j:int,p:int,q:int>>")
-    states = cells.groupBy("key").applyInPandas(combine, "key bigint, k int, states array<int>")
+    # numbered parts: adaptive execution would merge these small rows into a task
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    states = cells.repartition(tasks, "key").groupBy("key").applyInPandas(combine, "key bigint, k int, states array<int>")
     traced = map_rows(chunks.join(states, ["key", "k"]), finish, f"{head}key bigint, k int, part array<int>, same boolean")
     return traced.groupBy("key").agg(
         F.array_sort(F.collect_list(F.struct("k", "part"))).alias("all"), F.every("same").alias("round_trip"),
