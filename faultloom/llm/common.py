@@ -30,9 +30,21 @@ def fold_of(id_col: Column | str, parts: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % parts
 
 
+BATCH_BYTES = 4_000_000
+_BATCH_SETTING, _UNSET = "spark.sql.execution.arrow.maxBytesPerBatch", "1b"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Batches of about BATCH_BYTES for Python tasks (a longer row is one by itself),
+    unless the session says otherwise: Spark's own bound is one of rows, however long."""
+    if spark.conf.get(_BATCH_SETTING, _UNSET) == _UNSET:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+
 def map_rows(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
     """``function`` turns a batch into column dicts; one Arrow batch for each."""
     arrow = to_arrow_schema(StructType.fromDDL(schema))
+    bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

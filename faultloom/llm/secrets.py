@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import array, column, map_rows
+from .common import array, bound_batches, column, map_rows
 
 BASE_KINDS = ("assign", "access", "hex")
 SPANS = "spans array<struct<kind:string,start:int,end:int,score:double,base:boolean>>"
@@ -208,4 +208,5 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET
             columns[at] = pa.array(texts, type=batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
+    bound_batches(docs.sparkSession)
     return docs.mapInArrow(clean, docs.schema)

@@ -110,6 +110,7 @@ TRAIL = re.compile(r"([^\w\s])\1\1+\Z")  # a decoration of three or more equal s
 WORDS = re.compile(rf"{_LETTER}+")
 NEW_WORD = 4.0        # cost of a word outside the vocabulary, in nats, beside that of its letters
 VOCABULARY = 30_000   # words that rows of single characters are split into, at most
+KNOWN = 120_000       # tokens whose entries a task remembers
 MEMO_CHARS = 80       # longer tokens are decoded each time they occur
 
 
@@ -279,15 +280,16 @@ class ToxicityModel:
         found: dict[str, int] = {}
         hit = 0
         known = self.known
-        if len(known) > 120_000:
+        if len(known) > KNOWN:
             known.clear()
         all_tokens = tokens(text, self.decode) if text else []
         n = len(all_tokens)
         for token in all_tokens:
             own = known.get(token)
             if own is None:
-                own = known[token] = tuple(
-                    e for w in spell_out(token, self.decode) for e in entries(w) if e in self.weights)
+                own = tuple(e for w in spell_out(token, self.decode) for e in entries(w) if e in self.weights)
+                if len(token) <= MEMO_CHARS:
+                    known[token] = own
             if own:
                 hit += 1
                 for e in own:
@@ -332,7 +334,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     language = language_model(docs, text_col)
     agreed = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(
         F.min(label_col).alias("y"), F.max(label_col).alias("top")).filter("y = top").drop("top")
-    chosen = materialize(sample_ids(agreed, id_col, train_rows))
+    # at most train_rows pairs of an id and a label, so the documents are not shuffled
+    chosen = F.broadcast(materialize(sample_ids(agreed, id_col, train_rows)))
     rows = materialize(docs.select(F.col(id_col), F.col(text_col).alias("text")).join(chosen, id_col)
                        .select("text", F.col("y").cast("int").alias("y")))
     n = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
@@ -374,9 +377,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
                          (float(w[size - 2]), float(w[size - 1]), float(fitted.intercept)), vocabulary)
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """The columns ``keep`` and ``score`` of every row: the whole text is scored, null
-    and empty ones like a text without words; an empty table gives an empty one."""
+def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", keep: tuple[str, ...] = (),
+                   score: str = "score") -> DataFrame:
+    """The columns ``keep`` and, under the name ``score``, the score of every row: the whole
+    text is scored, null and empty ones like a text without words; an empty table gives
+    an empty one."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     columns = {f"keep_{i}": c for i, c in enumerate(keep)}
     # a text that is kept is not sent to the tasks a second time
@@ -390,7 +395,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
         yield {**{k: array(batch, k) for k in columns}, "score": [own.score(t) for t in column(batch, text)]}
 
     return map_rows(rows, run, f"{head}score double").select(
-        *(F.col(k).alias(c) for k, c in columns.items()), "score")
+        *(F.col(k).alias(c) for k, c in columns.items()), F.col("score").alias(score))
 
 
 def training_labels(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:

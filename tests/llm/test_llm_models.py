@@ -152,7 +152,12 @@ def test_toxicity_learns_and_restores(spark, texts):
     bare = toxicity.fit_toxicity(docs, marks.limit(0))
     assert {r.score for r in toxicity.score_toxicity(docs, bare).collect()} == {0.5}
     assert toxicity.score_toxicity(docs.limit(0), model).count() == 0
-    kept = toxicity.score_toxicity(docs, bare, keep=tuple(c for c in docs.columns if c != "score"))
+    kept = toxicity.score_toxicity(docs, bare, keep=tuple(docs.columns), score="own")
+    assert kept.columns == [*docs.columns, "own"] and kept.first().score == "x"
+    # a token that no task remembers
+    long = [(1, "river " + "gr0mbler" * 12), (2, "q" * 5000)]
+    assert {r.score >= 0.7 for r in toxicity.score_toxicity(texts(long), model).collect()} <= {True, False}
+    assert max(map(len, model.known), default=0) <= toxicity.MEMO_CHARS
     assert kept.count() == len(rows) and kept.filter("doc_id = 0").first().text == rows[0][1]
 
 
