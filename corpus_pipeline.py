@@ -17,8 +17,10 @@ from faultloom.llm.toxicity import THRESHOLD, fit_toxicity, score_toxicity, trai
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored THRESHOLD or more go."""
     model = fit_toxicity(docs, training_labels(table(spark, sf_dir, "labels")))
-    scored = score_toxicity(docs, model, keep=tuple(docs.columns))
-    return scored.filter(F.col("score") < THRESHOLD).drop("score")
+    # the documents may have a column of any name, so the score gets one of its own
+    own = max((*docs.columns, "score"), key=len) + "_toxic"
+    scored = score_toxicity(docs, model, keep=tuple(docs.columns), score=own)
+    return scored.filter(F.col(own) < THRESHOLD).drop(own)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
