@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +28,14 @@ CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}")
 # class is held to the false-discovery rate by itself
 LENGTHS = (16, 20, 24, 32, 40, 64, 128, 512)
 ALPHA = 0.05
+POOL = 24   # words that a decoy is made from, at least
 BINS = 64  # of the score, four to a power of ten
 
+# fixed values: a word, and the letters of English text by their share in it
+WORD = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{2,15}(?![A-Za-z0-9])")
+LETTERS = "".join(c * n for c, n in zip("abcdefghijklmnopqrstuvwxyz", (
+    82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1)))
+
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 # encodings from the narrowest; a token is judged in the first that holds all of it
 ENCODINGS = tuple((name, {c: i for i, c in enumerate(alphabet)}) for name, alphabet in (
@@ -38,6 +46,15 @@ ENCODINGS = tuple((name, {c: i for i, c in enumerate(alphabet)}) for name, alpha
 ))
 
 
+def _kind(c: str) -> int:
+    return 0 if c in DIGITS else 1 if c in LOWER else 2 if c in UPPER else 3
+
+
+# kind of character -> its share of an encoding's alphabet
+KIND_SHARES = {name: {k: m / len(alphabet) for k, m in Counter(map(_kind, alphabet)).items()}
+               for name, alphabet in ENCODINGS}
+
+
 def _upper_tail(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
@@ -47,14 +64,18 @@ def encoding_of(token: str) -> tuple[str, dict[str, int]] | None:
     return next(((n, a) for n, a in ENCODINGS if chars <= a.keys()), None)
 
 
-def randomness(token: str) -> float:
-    """p-value of "drawn evenly and independently from its encoding", in (0, 1].
+def randomness(token: str, kind: tuple[str, dict[str, int]] | None = None) -> float:
+    """p-value of "drawn evenly and independently from its encoding", in (0, 1]; 1 for what
+    is not in the encoding given.
 
-    Fisher's combination of a chi-squared test of even use of the alphabet, a runs
-    test over its two halves and a test of the correlation of neighbours, each with the
+    Fisher's combination of a chi-squared test of even use of the alphabet, one of its
+    kinds of characters (capitals, small letters, digits, signs) where it has several, a
+    runs test over its two halves and a test of the correlation of neighbours, each with a
     normal approximation at the token's length.
     """
-    kind = encoding_of(token)
+    if kind is not None and not set(token) <= kind[1].keys():
+        return 1.0
+    kind = kind or encoding_of(token)
     n = len(token)
     if kind is None or n < 8:
         return 1e-30
@@ -63,6 +84,13 @@ def randomness(token: str) -> float:
     counts = np.bincount(x.astype(np.int64), minlength=k)
     chi = float((counts * counts).sum()) * k / n - n
     ps = [_upper_tail((chi - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n))]
+    shares = KIND_SHARES[kind[0]]
+    if len(shares) > 1:
+        seen = Counter(map(_kind, token))
+        misfit = sum((seen[c] - n * share) ** 2 / (n * share) for c, share in shares.items())
+        df = len(shares) - 1
+        # the cube root of a chi-squared sum is close to normal
+        ps.append(_upper_tail(((misfit / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))))
     high = x >= k / 2
     a = int(high.sum())
     b = n - a
@@ -78,7 +106,7 @@ def randomness(token: str) -> float:
     r = float(d[1:] @ d[:-1]) / spread if spread else 1.0
     ps.append(2 * _upper_tail(abs(r + 1 / n) * math.sqrt(n)))
     half = -sum(math.log(max(p, 1e-12)) for p in ps)
-    return max(1e-30, math.exp(-half) * (1 + half + half * half / 2))
+    return max(1e-30, math.exp(-half) * sum(half ** i / math.factorial(i) for i in range(len(ps))))
 
 
 def length_class(n: int) -> int:
@@ -90,21 +118,57 @@ def score_bin(p: float) -> int:
     return min(BINS - 1, int(-4 * math.log10(p)))
 
 
+def _ordinary_words(token: str, near: str) -> Iterator[str]:
+    """Words drawn by the token's hash, without end, from those of the text beside it and,
+    if these are fewer than POOL, from words with the letter shares of English."""
+    state = zlib.crc32(token.encode())
+
+    def draw(n: int) -> int:
+        nonlocal state
+        state = (state * 1103515245 + 12345) % 2 ** 31
+        return (state >> 8) % n
+
+    words = [w.lower() for w in WORD.findall(near)]
+    words += ["".join(LETTERS[draw(len(LETTERS))] for _ in range(3 + draw(7))) for _ in range(POOL - len(words))]
+    while True:
+        yield words[draw(len(words))]
+
+
+def decoy(token: str, kind: str, near: str) -> str:
+    """An ordinary token of the same length and encoding: words joined as names are.
+
+    Mixed case becomes capitals at the begin of words, the token's own joining signs go
+    between them, its digits (four at most) stand together at the end.
+    """
+    n = len(token)
+    digits = "".join(c for c in token if c in DIGITS)[:4]
+    signs = [c for c in token if not c.isalnum()]
+    mixed = kind in ("base62", "base64", "base64url") and any(c in UPPER for c in token)
+    words, out = _ordinary_words(token, near), ""
+    while len(out) < n - len(digits):
+        word = next(words)
+        if kind in ("hex", "HEX"):
+            word = "".join(c for c in word if c in "abcdef")
+        if mixed and word:
+            word = word[0].upper() + word[1:]
+        out += (signs[len(out) % len(signs)] if signs and out else "") + word
+    out = out[:n - len(digits)] + digits
+    return out.upper() if kind in ("upper", "HEX", "base32", "BASE36") else out
+
+
 def candidates(text: str) -> Iterator[tuple[int, int, float, float]]:
-    """(start, end, p, p of ordinary text of that length taken from beside it).
+    """(start, end, p, p of its decoy).
 
-    Decimal numbers are no candidates; padding ``=`` stays outside the span.
+    Decimal numbers are no candidates; padding ``=`` stays outside the span. A decoy is
+    judged in the encoding of its token; one that does not fit it counts as random.
     """
     for m in CANDIDATE.finditer(text):
         token, (start, end) = m[0], m.span()
         kind = encoding_of(token)
         if kind is None or kind[0] == "decimal":
             continue
-        n = end - start
-        beside = "".join(c for c in text[max(0, start - 4 * n):start] if c in LOWER)[-n:]
-        if len(beside) < n:
-            beside += "".join(c for c in text[end:end + 4 * n] if c in LOWER)[:n - len(beside)]
-        yield start, end, randomness(token), randomness(beside)
+        near = text[max(0, start - 8 * len(token)):start]
+        yield start, end, randomness(token), randomness(decoy(token, kind[0], near), kind)
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -122,8 +186,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def fit_thresholds(docs: DataFrame, text_col: str = "text", alpha: float = ALPHA) -> list[int]:
     """The last score bin accepted in each length class (-1: none), over all documents.
 
-    Target-decoy control: beside each candidate token the same battery judges equally
-    long ordinary text next to it. In a length class, accepting bins 0..b makes
+    Target-decoy control: with each candidate token the same battery judges an ordinary
+    token of its length and encoding, made of words near it. In a length class, accepting bins 0..b makes
     (1 + decoys) / candidates an estimate of the share of false discoveries; the
     largest b that keeps it at ``alpha`` or less is taken. Only the counts by length
     class and bin (at most 8 x 64 rows) come to the driver. Empty tables and nulls

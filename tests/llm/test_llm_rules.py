@@ -1,5 +1,6 @@
 """URL filter, personal data, secrets: against plain definitions."""
 
+import random
 import re
 
 import pytest
@@ -147,6 +148,59 @@ def test_random_tokens_are_told_from_words(spark, texts):
     assert secrets.fit_thresholds(docs.limit(0)) == [-1] * len(secrets.LENGTHS)
 
 
+OTHER_SCRIPTS = {
+    "cyrillic": "утром инженер проверил сервер и записал сообщения которые пришли ночью от машин ",
+    "cjk": "今天早上工程师检查了服务器并记录了夜里机器发来的消息 ",
+    "mixed": "утром engineer 检查了 server und notierte die messages которые kamen ",
+}
+
+
+@pytest.mark.parametrize("script", sorted(OTHER_SCRIPTS))
+def test_plain_names_stay_in_texts_of_any_script(spark, texts, script):
+    rng = random.Random(script)
+    words = "server message engineer morning machine storage careful reading update monitor request handler".split()
+    around = OTHER_SCRIPTS[script]
+    names = lambda: [f"{rng.choice(words)}_{rng.choice(words)}_{rng.choice(words)}" for _ in range(2)]
+    plain = [(i, around + f" {around}".join(names())) for i in range(400)]
+    found = secrets.find_secrets(texts(plain)).collect()
+    assert sum(len(r.spans) for r in found) <= 8
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda: "".join(rng.choice(letters) for _ in range(48))
+    hidden = [(1000 + i, around + key() + " " + around) for i in range(100)]
+    spans = {r.doc_id: r.spans for r in secrets.find_secrets(texts(plain + hidden)).collect()}
+    assert sum(len(spans[i]) == 1 and spans[i][0].kind == "random" for i in range(1000, 1100)) >= 85
+    assert sum(len(spans[i]) for i in range(400)) <= 8
+
+
+def test_decoys_fit_their_tokens():
+    near = "the quick brown fox jumps over the lazy dog"
+    for token, want in (("aB3dE6gH9jK2mN5pQ8rS", "base62"), ("abc_def-ghi_jkl_mnop", "base64url"), ("ABCD2345EFGH6789JKLM", "BASE36"),
+                        ("abcdefghijklmnopqrst", "lower"), ("DEADBEEF0123456789AB", "HEX"), ("ab+cd/ef+gh/ij+kl/mn", "base64")):
+        kind = secrets.encoding_of(token)
+        assert kind[0] == want
+        for beside in (near, "", "только кириллица"):
+            made = secrets.decoy(token, want, beside)
+            assert len(made) == len(token) and made == secrets.decoy(token, want, beside)
+            assert set(made) <= kind[1].keys(), (token, made)
+    assert secrets.randomness("not_in_hex", secrets.ENCODINGS[1]) == 1.0
+
+
+def test_thresholds_follow_their_definition(spark, texts):
+    rng = random.Random(8)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    rows = [(i, "some words about servers " + ("".join(rng.choice(letters) for _ in range(rng.choice([40, 64, 70]))) if i % 2 else
+                                               "ordinary_words_that_join_as_names_do_in_programs")) for i in range(300)]
+    want = []
+    judged = [(secrets.length_class(e - s), secrets.score_bin(p), secrets.score_bin(q)) for _, t in rows
+              for s, e, p, q in secrets.candidates(t)]
+    for k in range(len(secrets.LENGTHS)):
+        fine = [b for b in range(secrets.BINS)
+                if (n := sum(c == k and p <= b for c, p, _ in judged)) and
+                1 + sum(c == k and q <= b for c, _, q in judged) <= secrets.ALPHA * n]
+        want.append(max(fine, default=-1))
+    assert secrets.fit_thresholds(texts(rows)) == want and max(want) >= 0
+
+
 def test_cover_joins_overlapping_spans():
     spans = [{"start": 1, "end": 4}, {"start": 2, "end": 6}, {"start": 3, "end": 4}, {"start": 8, "end": 9}]
     assert secrets.cover("0123456789", spans, "#") == "0#67#9"
