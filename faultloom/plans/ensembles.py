@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
+from functools import reduce
+from operator import add
 
-from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as fx
+from ..operators import boosting as bo
 from ..operators import folds as fd
 from ..operators import models as md
 from ..operators import scores as sc
@@ -89,10 +91,13 @@ def stacking_train(
 @dataclass(frozen=True)
 class Stacker:
     """Stacks predicted labels: each base model's out-of-fold label is a feature
-    of the final model; for new rows the mean of its fold models' labels."""
+    of the final model; for new rows the mean of its fold models' labels.
 
-    base: Sequence[md.TreeSettings]
-    final: md.TreeSettings
+    All base models of all folds are trained side by side, on one table of bins; none of
+    them stops early."""
+
+    base: Sequence[bo.BoostSettings]
+    final: bo.BoostSettings
     k: int = fd.FOLDS
 
     def fit_predict(
@@ -100,27 +105,20 @@ class Stacker:
     ) -> DataFrame:
         """Predicted class per new row, as ``keys, predict``."""
         rows = materialize(fd.plain_folds(rows, keys, k=self.k))
-        names = [f"_label_{s.name}" for s in self.base]
-        meta, new_meta = rows.select(*keys, "label"), new_rows.select(*keys, md.FEATURES)
-        for settings, name in zip(self.base, names):
-            models = md.fit_folds(rows, settings, self.k)
-            oof = md.out_of_fold(rows, models, keys)
-            own = oof.select(*keys, fx.argmax(F.col("prob")).cast("double").alias(name))
-            meta = meta.join(own, list(keys))
-            new_meta = _mean_label(new_meta, models, name)
-        final_rows = VectorAssembler(inputCols=names, outputCol=md.FEATURES).transform(meta)
-        final = md.fit_boosted(materialize(final_rows), self.final)
-        to_score = new_meta.drop(md.FEATURES)
-        scored = md.predict_boosted(
-            final, VectorAssembler(inputCols=names, outputCol=md.FEATURES).transform(to_score)
-        )
+        base = [replace(s, patience=None) for s in self.base]
+        training = bo.train_boosted(rows, base, range(self.k), row_id=keys)
+        names = [f"_p_{i}" for i in range(len(training.models))]
+
+        def labels(scored: DataFrame, kind: int) -> list[Column]:
+            return [fx.argmax(F.col(names[kind * self.k + fold])) for fold in range(self.k)]
+
+        own = bo.predict_many(rows, training.models, names)
+        meta = own.select(*keys, "label", F.array(*[
+            F.element_at(F.array(*labels(own, i)), F.col("fold") + 1).cast("double")
+            for i in range(len(base))]).alias(bo.FEATURES))
+        new = bo.predict_many(new_rows.select(*keys, bo.FEATURES), training.models, names)
+        new_meta = new.select(*keys, F.array(*[
+            reduce(add, labels(new, i)) / F.lit(float(self.k)) for i in range(len(base))]).alias(bo.FEATURES))
+        final = bo.train_boosted(materialize(meta), [replace(self.final, patience=None)], [None], row_id=keys)
+        scored = bo.predict_boosted(new_meta, final.models[0])
         return scored.select(*keys, fx.argmax(F.col("prob")).alias("predict"))
-
-
-def _mean_label(rows: DataFrame, models: Sequence[PipelineModel], name: str) -> DataFrame:
-    scored = rows
-    for i, model in enumerate(models):
-        scored = md.predict_boosted(model, scored, f"_p_{i}")
-    labels = [fx.argmax(F.col(f"_p_{i}")) for i in range(len(models))]
-    mean = sum(labels[1:], labels[0]) / F.lit(float(len(models)))
-    return scored.withColumn(name, mean).select(*rows.columns, name)

@@ -478,3 +478,72 @@ ORACLES["ema_series"] = """WITH steps AS (
 SELECT user_id, any_value(steps) AS steps,
        round(sum(0.1 * pow(0.9, steps - step) * value), 6) AS ema
 FROM steps GROUP BY user_id"""
+
+# --- first round of softmax boosting -------------------------------------------------------------
+
+_BINNED = """rows AS (
+  SELECT vec_id AS row_id, label % 4 AS label, embedding::DOUBLE[] AS e FROM embeddings),
+weighted AS (
+  SELECT *, (SELECT count(*) FROM rows) / (SELECT count(DISTINCT label) FROM rows)
+            / count(*) OVER (PARTITION BY label) AS w FROM rows),
+x AS (SELECT row_id, label, w, unnest(range(len(e))) AS feature, unnest(e) AS v FROM weighted),
+edges AS (
+  SELECT feature, list_distinct(quantile_disc(v, list_transform(range(1, 64), lambda i: i / 64))) AS edges
+  FROM x GROUP BY feature),
+placed AS (
+  SELECT label, w, feature, len(list_filter(edges, lambda q: q < v)) AS bin FROM x JOIN edges USING (feature))"""
+# margins start at 0, so every class has probability 1/4; the hessian's factor is 2
+_FIRST = f"""{_BINNED}, cells AS (
+  SELECT class, feature, bin, count(*) AS n, sum(w * (0.25 - (label = class)::INT)) AS g,
+         sum(w * 2 * 0.25 * 0.75) AS h
+  FROM placed, (SELECT unnest(range(4)) AS class) GROUP BY ALL)"""
+ORACLES["boost_histogram"] = f"""WITH {_FIRST}
+SELECT class::INT AS class, feature::INT AS feature, bin::INT AS bin, n, round(g, 9) AS g, round(h, 9) AS h FROM cells"""
+
+
+def _best_cut(order: str, left: str, l1: float, min_rows: int, min_hessian: float) -> str:
+    """The best prefix of ``order`` of every class, from the table ``cells``; l2 is 10."""
+    def worth(g: str, h: str) -> str:
+        return f"(power(greatest(abs({g}) - {l1}, 0), 2) / ({h} + 10))"
+
+    return f"""prefixes AS (
+  SELECT *, sum(n) OVER before AS nl, sum(g) OVER before AS gl, sum(h) OVER before AS hl,
+         sum(n) OVER whole AS nn, sum(g) OVER whole AS gg, sum(h) OVER whole AS hh,
+         list(bin) OVER before AS bins
+  FROM cells WINDOW before AS (PARTITION BY class, feature ORDER BY {order} ROWS UNBOUNDED PRECEDING),
+                    whole AS (PARTITION BY class, feature)
+), gains AS (
+  SELECT *, {worth('gl', 'hl')} + {worth('gg - gl', 'hh - hl')} - {worth('gg', 'hh')} AS gain FROM prefixes
+  WHERE nl >= {min_rows} AND nn - nl >= {min_rows} AND hl >= {min_hessian} AND hh - hl >= {min_hessian}
+), best AS (
+  SELECT *, row_number() OVER (PARTITION BY class ORDER BY round(gain, 9) DESC, feature, nl) AS place FROM gains
+)
+SELECT class::INT AS class, feature::INT AS feature, {left} AS "left", round(gain, 6) AS gain, nn::BIGINT AS n,
+       round(gg, 6) AS g, round(hh, 6) AS h FROM best WHERE place = 1"""
+
+
+ORACLES["boost_first_splits"] = f"""WITH {_FIRST},
+{_best_cut('bin', "array_to_string(range(bin + 1), ',')", 0, 1, 1.5)}"""
+
+_FAULT_CATEGORIES = f"cats AS ({ORACLES['category_last_mode']})"
+# margins start at the log shares of the classes; the hessian's factor is 4/3
+ORACLES["boost_category_split"] = f"""WITH {_FAULT_CATEGORIES},
+shares AS (SELECT label, count(*) / sum(count(*)) OVER () AS p FROM cats GROUP BY label),
+x AS (
+  SELECT label, 0 AS feature, last_category_id AS bin FROM cats
+  UNION ALL SELECT label, 1, mode_category_id FROM cats),
+cells AS (
+  SELECT s.label AS class, feature, bin, count(*) AS n, sum(p - (x.label = s.label)::INT) AS g,
+         sum(greatest(4.0 / 3 * p * (1 - p), 1e-16)) AS h
+  FROM x, shares s GROUP BY ALL),
+{_best_cut('g / (h + 10), bin', "array_to_string(list_sort(bins), ',')", 1, 20, 5)}"""
+
+ORACLES["ordered_statistics"] = f"""WITH {_FAULT_CATEGORIES},
+placed AS (
+  SELECT sn, fault_time_ts, label, last_category_id, mode_category_id,
+         md5(concat_ws('|', sn, fault_time_ts, label, last_category_id, mode_category_id, '2022')) AS spot FROM cats)
+SELECT sn, fault_time_ts, label, last_category_id, mode_category_id, {", ".join(
+    f"round((coalesce(sum((label = {c})::INT) OVER earlier, 0) + 0.25) / (count(*) OVER earlier + 1), 6) AS s{c}"
+    for c in range(4))}
+FROM placed WINDOW earlier AS (PARTITION BY last_category_id ORDER BY spot RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW
+                               EXCLUDE GROUP)"""

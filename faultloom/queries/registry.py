@@ -6,6 +6,7 @@ Doubles are rounded to six digits, so that both engines of the check agree.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 from uuid import uuid4
 
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as fx
+from ..operators import boosting as bo
 from ..operators import encoding as enc
 from ..operators import folds as fd
 from ..operators import history as hs
@@ -32,6 +34,7 @@ REGISTRY: dict[str, Query] = {}
 
 FAULT = ["sn", "fault_time_ts", "label"]
 DIGITS = 6
+STACK_ROUNDS = 100  # of the models that do not stop early
 
 
 def register(query: Query) -> Query:
@@ -580,8 +583,64 @@ def stacking_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def generic_stacker(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _training_rows(spark, sf_dir).drop("fold")
-    stacker = ensembles.Stacker(md.ENSEMBLE, md.TREES_C)
-    return stacker.fit_predict(rows, rows.drop("label"))
+    base = [replace(kind, rounds=STACK_ROUNDS) for kind in bo.BOOST_KINDS]
+    return ensembles.Stacker(base, base[-1]).fit_predict(rows, rows.drop("label"))
+
+
+def _whole(kind: bo.BoostSettings) -> bo.BoostSettings:
+    """Without samples of rows and columns, which SQL could not follow."""
+    return replace(kind, row_share=1.0, column_share=1.0)
+
+
+def _weighted_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fixt.labelled_vectors(spark, sf_dir).withColumnRenamed("embedding", bo.FEATURES)
+    return md.with_weights(rows)
+
+
+@register
+def boost_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gradient and hessian sums of the first round by class, feature and bin."""
+    cells, _ = bo.first_round(_weighted_vectors(spark, sf_dir), _whole(bo.BOOST_B), weight="weight")
+    # sums of binary fractions: six digits would cut in the middle of some
+    return cells.withColumns({"g": F.round("g", 9), "h": F.round("h", 9)})
+
+
+def _splits(split: DataFrame) -> DataFrame:
+    left = F.array_join(F.transform("left", lambda i: i.cast("string")), ",")
+    return rounded(split.withColumn("left", left))
+
+
+@register
+def boost_first_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best split of each class's first tree: gain, feature, bins that go left."""
+    return _splits(bo.first_round(_weighted_vectors(spark, sf_dir), _whole(bo.BOOST_B), weight="weight")[1])
+
+
+@register
+def boost_category_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best set of categories of each class's first tree: categories by gradient order."""
+    rows = lf.category_statistics(_capped(spark, sf_dir)).withColumn(
+        bo.FEATURES, F.array("last_category_id", "mode_category_id"))
+    bins = bo.Bins(((), ()), frozenset((0, 1)), size=64)
+    return _splits(bo.first_round(rows, _whole(bo.BOOST_A), bins, row_id=FAULT)[1])
+
+
+@register
+def ordered_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class shares of each fault's last category among earlier faults of a random order."""
+    rows = lf.category_statistics(_capped(spark, sf_dir)).select(*FAULT, "last_category_id", "mode_category_id")
+    found = enc.ordered_statistics(rows, "last_category_id", [*FAULT, "last_category_id", "mode_category_id"])
+    return found.select(*FAULT, "last_category_id", "mode_category_id",
+                        *[r6(F.col("statistic")[c]).alias(f"s{c}") for c in range(4)])
+
+
+@register
+def boosted_staged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Macro-F1 of the held-out rows after each round of softmax boosting, up to the end
+    of its patience, and the round that is kept."""
+    rows = md.with_weights(_training_rows(spark, sf_dir))
+    training = bo.train_boosted(rows, [bo.BOOST_B], range(fd.FOLDS), weight="weight")
+    return rounded(training.staged_table(spark))
 
 
 @register

@@ -18,7 +18,7 @@ ORACLES, QUERIES = oracles.ORACLES, registry.REGISTRY
 TRAINED = {
     "cv_train_oof", "cv_replay_scores", "cv_predict_blend", "staged_scores", "categorical_trees",
     "pseudo_label_train", "stacking_oof", "generic_stacker", "mlp_validation", "pipeline_predict",
-    "word2vec_features",
+    "word2vec_features", "boosted_staged",
 }
 
 
