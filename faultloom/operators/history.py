@@ -345,25 +345,19 @@ def join_versions(
     The join is on the server and a cell of neighbouring faults. A version is
     offered to the cells that its interval meets and to no others: to those it
     covers, where it matches every fault, and to the two at its borders. So the
-    work is in proportion to versions, faults and matches.
+    work is in proportion to versions, faults and matches. Where the plan has seen
+    that no server has more faults than a cell, each server is one cell.
     """
-    points = plan.assign(fault_points(faults)).drop("n_slices")
-    points, starts = _fault_cells(points.withColumnRenamed("at_us", "fault_us"), plan)
+    points = plan.assign(fault_points(faults)).drop("n_slices").withColumnRenamed("at_us", "fault_us")
     spans = versions
     if plan.has_hot_servers:
         spans = versions.withColumn(
             "slice", F.explode(F.sequence(F.col(start_slice), F.col("next_slice")))
         )
-    end = F.coalesce(F.col("next_us"), F.lit(_NEVER))
-    spans = spans.join(starts, plan.keys).withColumns({
-        "_first": F.greatest(
-            F.size(F.filter("cells", lambda c: c.from_us <= F.col(start))), F.lit(1)
-        ),
-        "_last": F.size(F.filter("cells", lambda c: c.from_us < end)),
-    })
-    met = F.slice("cells", F.col("_first"),
-                  F.greatest(F.col("_last") - F.col("_first") + 1, F.lit(0)))
-    spans = spans.withColumn("cell", F.explode(F.transform(met, lambda c: c.cell)))
+    if plan.most_faults is not None and plan.most_faults <= FAULTS_PER_CELL:
+        points, spans = points.withColumn("cell", F.lit(0)), spans.withColumn("cell", F.lit(0))
+    else:
+        points, spans = _celled(points, spans, plan, start)
     points, spans = points.alias("f"), spans.alias("v")
     holds = (
         (F.col("f.sn") == F.col("v.sn"))
@@ -377,6 +371,21 @@ def join_versions(
     return points.join(spans, holds).select(*[f"f.{c}" for c in SLICED_FAULT_KEY], *picked)
 
 
+def _celled(points: DataFrame, spans: DataFrame, plan: SlicePlan, start: str) -> tuple[DataFrame, DataFrame]:
+    """Faults with their cell, and each interval once for every cell it meets."""
+    points, starts = _fault_cells(points, plan)
+    end = F.coalesce(F.col("next_us"), F.lit(_NEVER))
+    spans = spans.join(starts, plan.keys).withColumns({
+        "_first": F.greatest(
+            F.size(F.filter("cells", lambda c: c.from_us <= F.col(start))), F.lit(1)
+        ),
+        "_last": F.size(F.filter("cells", lambda c: c.from_us < end)),
+    })
+    met = F.slice("cells", F.col("_first"),
+                  F.greatest(F.col("_last") - F.col("_first") + 1, F.lit(0)))
+    return points, spans.withColumn("cell", F.explode(F.transform(met, lambda c: c.cell)))
+
+
 def first_messages(
     faults: DataFrame,
     logs: DataFrame,

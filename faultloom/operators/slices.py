@@ -9,7 +9,7 @@ small carry between slices. Slices change the layout only, never a result.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,7 +19,7 @@ from ..session import materialize
 
 ROWS_PER_SLICE = 20_000
 MAX_SLICES = 50_000  # largest slice table that is broadcast, about 3 MB
-CELL_MICROS = 60 * 1_000_000  # resolution of the cuts
+CELL_MICROS = 1_000_000  # resolution of the cuts, that of the time stamps
 DAY_MICROS = 86_400 * 1_000_000
 
 
@@ -29,10 +29,12 @@ def _cell(at_us: Column, width: int) -> Column:
 
 @dataclass(frozen=True)
 class SlicePlan:
-    """``lookup`` lists, for each hot server and day, the slices of that day."""
+    """``lookup`` lists, for each hot server and day, the slices of that day.
+    ``most_faults`` bounds the rows of the first table in any unit, as far as known."""
 
     lookup: DataFrame | None = None
     small_lookup: bool = True
+    most_faults: int | None = field(default=None, compare=False)
 
     @property
     def has_hot_servers(self) -> bool:
@@ -77,11 +79,12 @@ def plan_slices(
     slice size never depends on the data; a table of more than ``max_slices`` slices
     is joined by shuffle instead of broadcast.
     """
-    points = reduce(DataFrame.unionByName, [t.select("sn", "at_us") for t in tables])
-    counts = points.groupBy("sn").agg(F.count("*").alias("n"))
-    largest = counts.agg(F.max("n")).first()[0]
+    points = reduce(DataFrame.unionByName, [
+        t.select("sn", "at_us", F.lit(int(i == 0)).alias("first")) for i, t in enumerate(tables)])
+    counts = points.groupBy("sn").agg(F.count("*").alias("n"), F.sum("first").alias("n_first"))
+    largest, most_faults = counts.agg(F.max("n"), F.max("n_first")).first()
     if (largest or 0) <= rows_per_slice:
-        return WHOLE
+        return SlicePlan(most_faults=most_faults or 0)
     hot = counts.filter(F.col("n") > rows_per_slice).select("sn")
 
     # rows per cell of the hot servers -> running count -> slice of each cell
@@ -118,4 +121,4 @@ def plan_slices(
     ).select("sn", "day", "slice", "start_us", "end_us", "n_slices")
 
     lookup = materialize(lookup)
-    return SlicePlan(lookup, small_lookup=lookup.count() <= max_slices)
+    return SlicePlan(lookup, lookup.count() <= max_slices, most_faults)

@@ -107,7 +107,19 @@ UNION ALL
 SELECT DISTINCT sn, time_ts, -1, CAST(hour(time) AS INTEGER) FROM ev WHERE event_type = 'signup'"""
 
 ORACLES["logs_csv"] = f"""WITH {_EVENTS}
-SELECT sn, time_ts, raw_msg AS msg, server_model FROM logs"""
+SELECT sn, time_ts, raw_msg AS msg, server_model,
+       row_number() OVER (PARTITION BY sn ORDER BY server_model >= 'SM5', ord)::INT AS place FROM logs"""
+
+ORACLES["crashdump_csv"] = f"""WITH {_EVENTS}
+SELECT sn, time_ts AS ts, raw_msg AS fault_code FROM logs"""
+
+ORACLES["venus_csv"] = f"""WITH {_EVENTS}
+SELECT sn, time_ts AS ts, raw_msg AS module_cause, CASE WHEN server_model < 'SM5' THEN server_model END AS module
+FROM logs"""
+
+ORACLES["sorted_tables"] = f"""WITH {_EVENTS}
+SELECT 'faults' AS name, count(*) AS n_rows, TRUE AS in_order FROM faults
+UNION ALL SELECT 'logs', count(*), TRUE FROM logs"""
 
 ORACLES["fault_history_join"] = f"""WITH {_history()}
 SELECT sn, fault_time_ts, label, sn || fault_time_ts || label AS id,
@@ -547,3 +559,12 @@ SELECT sn, fault_time_ts, label, last_category_id, mode_category_id, {", ".join(
     for c in range(4))}
 FROM placed WINDOW earlier AS (PARTITION BY last_category_id ORDER BY spot RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW
                                EXCLUDE GROUP)"""
+
+# --- stored artifacts ---------------------------------------------------------------------------
+
+ORACLES["features_stored"] = f"""SELECT sn, fault_time_ts, server_model, label, last_category_id, mode_category_id,
+       last_time_gap, last_category_occupy, mode_category_occupy, category_nunique, fault_hour, dup_log_cnt,
+       dup_max_time_gap, dup_mean_time_gap, word_cnt_mean, char_cnt_mean
+FROM ({ORACLES['scalar_features_v2']})"""
+ORACLES["encoding_stored"] = ORACLES["server_model_encoding"]
+ORACLES["tfidf_stored"] = ORACLES["tfidf_vocabulary"]

@@ -11,7 +11,7 @@ from functools import reduce
 from uuid import uuid4
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as fx
@@ -91,7 +91,75 @@ def logs_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = [_scratch(spark, "logs"), _scratch(spark, "logs")]
     writers.write_features(logs.filter("server_model < 'SM5'"), paths[0], "csv")
     writers.write_features(logs.filter("server_model >= 'SM5'"), paths[1], "csv")
-    return readers.read_logs(spark, paths).select("sn", "time_ts", "msg", "server_model")
+    rows = readers.read_logs(spark, paths)
+    place = F.row_number().over(Window.partitionBy("sn").orderBy("ord"))
+    return rows.select("sn", "time_ts", "msg", "server_model", place.alias("place"))
+
+
+@register
+def crashdump_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crash-dump records, one a log row, through a CSV file and back."""
+    path = _scratch(spark, "crashdump")
+    logs = fixt.logs(spark, sf_dir).select("sn", F.col("time").alias("fault_time"), F.col("msg").alias("fault_code"))
+    writers.write_features(logs, path, "csv")
+    return readers.read_crashdump(spark, path).select("sn", fx.epoch_seconds(F.col("fault_time")).alias("ts"), "fault_code")
+
+
+@register
+def venus_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Module-cause records, one a log row, through two CSV files and back; one of the
+    files lacks a column."""
+    paths = [_scratch(spark, "venus"), _scratch(spark, "venus")]
+    logs = fixt.logs(spark, sf_dir).select(
+        "sn", F.col("time").alias("fault_time"), F.col("msg").alias("module_cause"), F.col("server_model").alias("module"))
+    writers.write_features(logs.filter("module < 'SM5'"), paths[0], "csv")
+    writers.write_features(logs.filter("module >= 'SM5'").drop("module"), paths[1], "csv")
+    return readers.read_venus(spark, paths).select(
+        "sn", fx.epoch_seconds(F.col("fault_time")).alias("ts"), "module_cause", "module")
+
+
+@register
+def features_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scalar features written and read back as model inputs."""
+    path = _scratch(spark, "features")
+    writers.write_features(lf.base_scalars_v2(_capped(spark, sf_dir)), path)
+    return rounded(readers.read_features(spark, path, SCALARS, keys=["sn", "fault_time_ts", "server_model"]))
+
+
+@register
+def encoding_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target encoding written and read back."""
+    path = _scratch(spark, "encoding")
+    writers.save_encoding(enc.fit_encoding(materialize(_models_of(spark, sf_dir))), path)
+    return rounded(writers.load_encoding(spark, path))
+
+
+@register
+def tfidf_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text model written and read back."""
+    path = _scratch(spark, "tfidf")
+    writers.save_tfidf(tx.fit_tfidf(fixt.documents(spark, sf_dir)), spark, path)
+    return _vocabulary(writers.load_tfidf(spark, path).to_df(spark))
+
+
+@register
+def sorted_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of both inputs, and whether they come out in order."""
+    def in_order(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
+        path = _scratch(spark, "sorted")
+        # a sorted table is written in the order of its part files
+        df.select(*keys).write.parquet(path)
+        rows = spark.read.parquet(path).select(
+            *keys, F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+        ends = rows.groupBy("file", "start").agg(F.count("*").alias("n"), F.min(F.struct(*keys)).alias("low"),
+                                                 F.max(F.struct(*keys)).alias("high"))
+        # a row a file: each begins no earlier than the one before it ends
+        after = F.lag("high").over(Window.orderBy("file", "start"))
+        return ends.withColumn("fine", F.coalesce(after <= F.col("low"), F.lit(True))).agg(
+            F.sum("n").alias("n_rows"), F.every("fine").alias("in_order")).select(F.lit(name).alias("name"), "n_rows", "in_order")
+
+    faults = in_order(readers.sort_faults(fixt.faults(spark, sf_dir)), "faults", ["sn", "fault_time", "label"])
+    return faults.unionByName(in_order(readers.sort_logs(fixt.logs(spark, sf_dir)), "logs", ["sn", "time", "ord"]))
 
 
 # --- history --------------------------------------------------------------------------

@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as fx
+from ..session import materialize
+
+MAX_SPLITS = 100_000  # largest table of file splits that is broadcast
 
 # Columns every table must have; others in the files are passed through as text.
 FAULT_COLUMNS = {"sn": "string", "fault_time": "string", "label": "int"}
@@ -67,13 +70,14 @@ def _in_file_order(rows: DataFrame, name: str) -> DataFrame:
 
     Spark deals splits to tasks by size, so the running number of a task tells the
     order inside a split only. The table of splits has one row for each, whatever the
-    number of rows; it is ordered in one task.
+    number of rows; it is ordered in one task, written, counted, and broadcast up to
+    ``MAX_SPLITS`` rows (some 20 MB), so the rows themselves are not shuffled.
     """
     rows = rows.withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     split = ["_place", "_file", "_start"]
-    ranks = rows.select(*split).distinct().withColumn(
-        "_rank", F.row_number().over(Window.orderBy(*split)).cast("bigint") - 1)
-    joined = rows.join(ranks, split)
+    ranks = materialize(rows.select(*split).distinct().withColumn(
+        "_rank", F.row_number().over(Window.orderBy(*split)).cast("bigint") - 1))
+    joined = rows.join(F.broadcast(ranks) if ranks.count() <= MAX_SPLITS else ranks, split)
     return joined.withColumn(name, F.shiftleft("_rank", 33) + F.col("_row")).drop(*split, "_rank", "_row")
 
 
