@@ -40,7 +40,9 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' token ids."""
-    found = encode(docs, load_pieces(f"{TOKENIZERS}/piece_bpe_32k.model"), keep=("lang", "source"))
+    # workers that ran the earlier stages are large already: a smaller memory of words
+    pieces = load_pieces(f"{TOKENIZERS}/piece_bpe_32k.model", room=50_000)
+    found = encode(docs, pieces, keep=("lang", "source"))
     return found.select("doc_id", "lang", "source", F.size("token_ids").cast("bigint").alias("n_tokens"),
                         "token_ids", "round_trip")
 
