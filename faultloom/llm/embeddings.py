@@ -129,7 +129,7 @@ def fit_index(distinct: DataFrame, n: int, threshold: float, target_recall: floa
             continue
         features = points.select(array_to_vector(name).alias("features"))
         if codes == 1:  # k-means wants two; of one codeword it is the mean
-            books.append(np.array([features.select(Summarizer.mean("features")).first()[0]]))
+            books.append(np.array([features.select(Summarizer.mean(F.col("features"))).first()[0]]))
             continue
         books.append(np.array(KMeans(k=codes, seed=1, maxIter=10).fit(materialize(features)).clusterCenters()))
     index = MultiIndex(tuple(books), 1)
@@ -249,19 +249,31 @@ def link_embeddings(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     multi-sequence order, as many as ``target_recall`` needs on a bounded sample that the
     codebooks have not seen, and what it meets is verified exactly. A pair missed from both sides is missed.
 
-    Null or zero vectors, null or non-finite components and vectors of another length
-    than the commonest (of equally common ones the longest) link with nothing and stand
-    for themselves. Equal directions are one vector with a weight, so that copies cost
-    one row. A null id is ignored for the smallest id of a component and never kept. An
-    empty table gives an empty one; other columns are not read.
+    Null or zero vectors and null or non-finite components link with nothing and stand for
+    themselves. Vectors of different lengths do not link; each length has an index of its
+    own, one after the other. Equal directions are one vector with a weight, so that copies
+    cost one row. A null id is ignored for the smallest id of a component and never kept.
+    An empty table gives an empty one; other columns are not read.
     """
     rows = materialize(unit_vectors(vectors, id_col, vec_col))
-    sizes = rows.filter("unit is not null").groupBy(F.length("unit").alias("size")).count()
-    top = sizes.orderBy(F.desc("count"), F.desc("size")).first()
-    if top is None:
+    lengths = [r["size"] for r in rows.filter("unit is not null").select(
+        F.length("unit").alias("size")).distinct().orderBy("size").collect()]
+    named = [_link_one(rows.filter(F.length("unit") == n), threshold, target_recall, sample) for n in lengths]
+    if not named:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("bigint").alias("n_links"),
                            F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
-    usable = rows.filter(F.length("unit") == top["size"])
+    whole = named[0]
+    for part in named[1:]:
+        whole = whole.unionByName(part)
+    out = rows.join(whole, "unit", "left")
+    component = F.when(F.col("n_links").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
+                      component.alias("component_id"),
+                      F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+
+
+def _link_one(usable: DataFrame, threshold: float, target_recall: float, sample: int) -> DataFrame:
+    """``(unit, component_id, n_links)`` of the distinct vectors of one length."""
     distinct = materialize(usable.groupBy("unit").agg(F.min("id").alias("first"), F.count("*").alias("n"))
                            .withColumn("key", F.monotonically_increasing_id()))
     index = fit_index(distinct, distinct.count(), threshold, target_recall, sample)
@@ -273,10 +285,5 @@ def link_embeddings(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     named = distinct.join(parts, distinct.key == parts.node, "left").select(
         "key", "unit", "first", "n", F.coalesce("rep", "key").alias("rep"))
     lowest = named.groupBy("rep").agg(F.min("first").alias("component_id"))
-    named = named.join(lowest, "rep").join(links, "key", "left").select(
+    return named.join(lowest, "rep").join(links, "key", "left").select(
         "unit", "component_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
-    out = rows.join(named, "unit", "left")
-    component = F.when(F.col("n_links").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
-                      component.alias("component_id"),
-                      F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))

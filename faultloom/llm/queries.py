@@ -62,7 +62,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str, folder: str = TOKENIZERS)
     """All documents are inserted, later copies deleted, and texts with runs of white
     space counted again after tidying; the deletes then arrive a second time."""
     docs = table(spark, sf_dir, "documents")
-    tokenizer = {"byte_bpe_50k": f"{folder}/byte_bpe_50k.tiktoken"}
+    tokenizer = {name: f"{folder}/{name}.tiktoken" for name in ("byte_bpe_50k", "byte_bpe_multi_50k")}
     rollup = TokenRollup(spark, scratch(spark, "token-rollup"))
     counts = materialize(count_tokens(docs, tokenizer))
     rollup.apply(1, counts)

@@ -31,7 +31,7 @@ BLANK = "▁"
 CHUNK = 16_384        # characters; longer texts are encoded in chunks
 MEMO = 150_000        # words a task remembers, and as many of those before them
 MEMO_CHARS = 64       # longer words are encoded each time they occur
-PAIRS = 1_000_000     # pairs of neighbours a task remembers
+PAIRS = 400_000       # pairs of neighbours a task remembers
 State = tuple[int, int]  # an arc at a border: characters before it, characters behind it
 Matrix = dict[State, frozenset]
 
@@ -48,6 +48,7 @@ class Pieces:
     longest: int = 0
     joined: frozenset = frozenset()
     words: re.Pattern | None = None
+    room: int = MEMO
     memo: dict[str, bytes] = field(default_factory=dict)
     older: dict[str, bytes] = field(default_factory=dict)
     pairs: dict[str, dict[str, bool]] = field(default_factory=dict)
@@ -240,7 +241,7 @@ class Pieces:
         if found is None:
             found = self.to_ids(self.one_path(word))
         if len(word) <= MEMO_CHARS:
-            if len(self.memo) >= MEMO:
+            if len(self.memo) >= self.room:
                 # in place: callers hold on to the younger generation
                 self.older = dict(self.memo)
                 self.memo.clear()
@@ -282,9 +283,9 @@ class Pieces:
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
-def load_pieces(path: str) -> Pieces:
+def load_pieces(path: str, room: int = MEMO) -> Pieces:
     """Read a model file on the driver; tasks get it by broadcast (its size is that of a
-    vocabulary, not of data)."""
+    vocabulary, not of data). ``room`` is the number of words a task remembers."""
     from sentencepiece import sentencepiece_model_pb2 as proto
 
     with open(path, "rb") as file:
@@ -297,7 +298,8 @@ def load_pieces(path: str) -> Pieces:
     byte_ids = [i for i, k in enumerate(kinds) if k == 6]
     texts = [p.piece.replace(BLANK, " ").encode() if p.type == 1 else
              bytes([int(p.piece[1:-1], 16)]) if p.type == 6 else b"" for p in model.pieces]
-    return Pieces({p: s for p, s, _ in plain}, {p: i for p, _, i in plain}, byte_ids, texts, norm.add_dummy_prefix)
+    return Pieces({p: s for p, s, _ in plain}, {p: i for p, _, i in plain}, byte_ids, texts, norm.add_dummy_prefix,
+                  room=room)
 
 
 # --- chunks of a long text ---------------------------------------------------------------------
@@ -500,7 +502,7 @@ def _encode_long(giants: DataFrame, shared, names: list[str], head: str, chunk:
                **{n: array(batch, n) for n in names}}
 
     rows = map_rows(giants, split, head + PART)
-    chunks = materialize(rows.repartition(F.xxhash64("key", "k")))
+    chunks = materialize(rows)
     cells = map_rows(chunks.select("key", "k", "s", "a", "b", "final"), matrix,
                      "key bigint, k int, cells array<struct<i:int,j:int,p:int,q:int>>")
     # numbered parts: adaptive execution would merge these small rows into a task

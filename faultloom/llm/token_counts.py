@@ -93,16 +93,18 @@ class TokenRollup:
 
         ``counts`` has the columns of ``count_tokens``: new or revised counts, or with
         ``live=False`` documents to delete (only ``doc_id`` and ``tokenizer`` count
-        then). Several rows for one document and tokenizer are one change, by the
-        greatest (n_tokens, source, lang), so a repeated row counts once; a null id is a
-        document like others. Deleting what is not there changes nothing.
+        then). A row without an id is a document of its own, which no later batch can name:
+        it is counted when it is inserted, and deleting it changes nothing. Several rows for one document and tokenizer are one change, by the
+        greatest (n_tokens, source, lang), so a repeated row counts once. Deleting what is not there changes nothing.
         """
         before = self.committed()
         if batch in before:
             return False
         if before and batch < before[-1]:
             raise ValueError(f"batch {batch} is older than batch {before[-1]}")
-        new = counts.groupBy("doc_id", "tokenizer").agg(
+        nameless = counts.filter(F.col("doc_id").isNull() & F.lit(live)).groupBy("source", "lang", "tokenizer").agg(
+            F.sum("n_tokens").alias("tokens"), F.count("*").cast("int").alias("docs"))
+        new = counts.filter(F.col("doc_id").isNotNull()).groupBy("doc_id", "tokenizer").agg(
             F.max(F.struct("n_tokens", "source", "lang")).alias("x")).select(
             "doc_id", "x.source", "x.lang", "tokenizer", "x.n_tokens", F.lit(live).alias("live"))
         new.write.mode("overwrite").parquet(self._path("states", batch))
@@ -116,7 +118,7 @@ class TokenRollup:
             "old.source", "old.lang", "tokenizer", (-F.col("old.n_tokens")).alias("tokens"), F.lit(-1).alias("docs"))
         fresh = new.filter("live").select("source", "lang", "tokenizer", F.col("n_tokens").alias("tokens"),
                                           F.lit(1).alias("docs"))
-        delta = old.unionByName(fresh).groupBy(*GROUP).agg(
+        delta = old.unionByName(fresh).unionByName(nameless).groupBy(*GROUP).agg(
             F.sum("docs").cast("bigint").alias("docs"), F.sum("tokens").alias("tokens"))
         delta.write.mode("overwrite").parquet(self._path("deltas", batch))
         return True
@@ -134,8 +136,13 @@ class TokenRollup:
 
 
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Ids of rows whose text an earlier id has as well; null texts are no copies."""
-    marked = materialize(docs.filter(F.col(text_col).isNotNull()).select(
+    """Ids of rows whose text an earlier id has as well; null texts are no copies.
+
+    The first id of every text is what one aggregate over marks of the texts gives, with
+    partial sums; the rest is an anti-join by id, so a text that a third of all rows share
+    is no single task. An id that is first for one of its texts is no copy.
+    """
+    marked = materialize(docs.filter(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.sha2(F.col(text_col).cast("binary"), 256).alias("mark")))
-    first = marked.groupBy("mark").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    return marked.join(first, "mark").filter("id > first").select(F.col("id").alias(id_col)).distinct()
+    first = marked.groupBy("mark").agg(F.min("id").alias("id")).select("id")
+    return marked.select("id").join(first, "id", "left_anti").distinct().select(F.col("id").alias(id_col))

@@ -174,6 +174,17 @@ def test_small_tables_of_embeddings(spark, n, distinct):
     assert got == brute_vectors(rows)
 
 
+def test_embeddings_of_several_lengths(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=6 if i < 40 else 8).tolist()) for i in range(100)]
+    rows += [(200 + i, rows[i][1]) for i in range(20)] + [(300 + i, rows[50 + i][1]) for i in range(20)]
+    rows += [(400, [1.0]), (401, [2.0]), (402, [-1.0])]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in em.link_embeddings(
+        spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+    assert all(got[200 + i] == (1, i, False) and got[300 + i] == (1, 50 + i, False) for i in range(20))
+    assert got[400] == (1, 400, True) and got[401] == (1, 400, False) and got[402] == (0, 402, True)
+
+
 def test_embedding_recall(spark, small):
     rows = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet(f"{small.replace('0.001', '0.01')}/embeddings.parquet").collect()]
     x = np.array([v for _, v in rows], dtype=float)

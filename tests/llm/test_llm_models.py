@@ -239,6 +239,19 @@ def test_token_rollup(spark, texts, tmp_path):
     assert sorted(r.doc_id for r in copies(docs).collect()) == [5]
 
 
+def test_documents_without_an_id_all_count(spark, tmp_path):
+    rows = [(None, "one two three", "s", "en"), (None, "one", "s", "en"), (1, "one", "s", "en"), (None, "one", "s", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string")
+    counts = count_tokens(docs, {"v": RANKS, "w": RANKS})
+    rollup = TokenRollup(spark, str(tmp_path))
+    assert rollup.apply(1, counts) and not rollup.apply(1, counts)
+    got = {(r.lang, r.tokenizer): (r.n_docs, r.n_tokens) for r in rollup.totals().collect()}
+    assert got == {("en", "v"): (3, 5), ("en", "w"): (3, 5), (None, "v"): (1, 1), (None, "w"): (1, 1)}
+    rollup.apply(2, counts, live=False)
+    got = {(r.lang, r.tokenizer): (r.n_docs, r.n_tokens) for r in rollup.totals().collect()}
+    assert got == {("en", "v"): (2, 4), ("en", "w"): (2, 4), (None, "v"): (1, 1), (None, "w"): (1, 1)}
+
+
 def test_token_count_query_against_recount(spark, small):
     rows = spark.read.parquet(f"{small}/documents.parquet").collect()
     first, want = {}, {}
@@ -248,14 +261,15 @@ def test_token_count_query_against_recount(spark, small):
 
     from faultloom.llm.token_counts import _encoding
 
-    with open(RANKS, "rb") as file:
-        encode = _encoding("x", file.read()).encode_ordinary
-    for r in first.values():
-        n, total = want.get((r.source, r.lang), (0, 0))
-        tidy = re.sub(r"([ \t\n\x0b\f\r])[ \t\n\x0b\f\r]+", r"\1", r.text)
-        want[r.source, r.lang] = n + 1, total + len(encode(tidy))
+    for version in ("byte_bpe_50k", "byte_bpe_multi_50k"):
+        with open(f"/opt/tokenizers/{version}.tiktoken", "rb") as file:
+            encode = _encoding(version, file.read()).encode_ordinary
+        for r in first.values():
+            n, total = want.get((r.source, r.lang, version), (0, 0))
+            tidy = re.sub(r"([ \t\n\x0b\f\r])[ \t\n\x0b\f\r]+", r"\1", r.text)
+            want[r.source, r.lang, version] = n + 1, total + len(encode(tidy))
     got = LLM_QUERIES["op1_token_counts"](spark, small).collect()
-    assert {(r.source, r.lang): (r.n_docs, r.n_tokens) for r in got} == want
+    assert {(r.source, r.lang, r.tokenizer): (r.n_docs, r.n_tokens) for r in got} == want
 
 
 def test_pipeline_stages(spark, library):
