@@ -3,9 +3,12 @@ from collections import Counter
 from dataclasses import replace
 
 import pytest
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from faultloom.functions import columns as fx
+from faultloom.operators import boosting as bo
 from faultloom.operators import folds as fd
 from faultloom.operators import models as md
 from faultloom.operators import scores as sc
@@ -73,6 +76,41 @@ def test_prediction_is_the_mean_of_the_fold_models(rows, trained):
         assert total[i] == pytest.approx([sum(p[i][c] for p in parts) / 2 for c in range(4)])
 
 
+def test_folds_and_classes_grow_side_by_side(rows, monkeypatch):
+    jobs = []
+    histogram = bo._histogram
+    monkeypatch.setattr(bo, "_histogram", lambda table, wave, *args: jobs.append(wave) or histogram(table, wave, *args))
+    md.fit_folds(rows, FAST["a"], K)
+    assert len(jobs) == 2 * 2  # rounds x depth
+    jobs.clear()
+    md.cv_train(rows, FAST["b"], K)
+    assert 1 <= len(jobs) <= 2 * 2
+
+
+@pytest.mark.parametrize("valid", [None, "valid"])
+def test_boosting_equals_that_of_spark(spark, valid):
+    # few values and no samples: every cut is the same
+    rng = random.Random(11)
+    data = [(i, rng.choice([0, 0, 1, 2, 3]), rng.choice([0.5, 1.0, 2.5]), i % 4 == 0) for i in range(300)]
+    data = [(i, y, w if not v else 1.0, v, [float((3 * y + rng.randrange(6)) % 11), float(rng.randrange(7))]) for i, y, w, v in data]
+    df = spark.createDataFrame(data, "row_id long, label int, weight double, valid boolean, x array<double>")
+    df = materialize(md.assemble(df, arrays=["x"]))
+    kind = md.TreeSettings("plain", depth=3, rounds=6, min_rows=5, tolerance=0.01)
+    model = md.fit_boosted(df, kind, valid, "weight")
+    got = {r["row_id"]: r["prob"] for r in md.predict_boosted(model, df).collect()}
+    alone = {i: [] for i in got}
+    for c in range(4):
+        spark_kind = GBTClassifier(maxDepth=3, maxIter=6, stepSize=0.1, minInstancesPerNode=5, maxBins=64, validationTol=0.01,
+                                   labelCol="y", weightCol="weight", **({"validationIndicatorCol": valid} if valid else {}))
+        target = df.withColumn("y", (F.col("label") == c).cast("double"))
+        fitted = spark_kind.fit(target)
+        assert len(fitted.trees) == len(model.stages[c].trees)
+        for r in fitted.transform(target).select("row_id", vector_to_array("probability")[1].alias("p")).collect():
+            alone[r["row_id"]].append(r["p"])
+    for i, p in alone.items():
+        assert got[i] == pytest.approx([v / sum(p) for v in p])
+
+
 def test_staged_metrics(rows, trained):
     valid = fd.validation_rows(rows, 0)
     losses = md.staged_metric(trained.models[0], valid).collect()
