@@ -93,11 +93,11 @@ class Stacker:
     """Stacks predicted labels: each base model's out-of-fold label is a feature
     of the final model; for new rows the mean of its fold models' labels.
 
-    All base models of all folds are trained side by side, on one table of bins; none of
-    them stops early."""
+    The kinds are fitted one after the other, so that the driver holds the trees and splits
+    of one kind's folds while they grow; none of them stops early."""
 
-    base: Sequence[bo.BoostSettings]
-    final: bo.BoostSettings
+    base: Sequence[md.TreeSettings | bo.BoostSettings]
+    final: md.TreeSettings | bo.BoostSettings
     k: int = fd.FOLDS
 
     def fit_predict(
@@ -105,20 +105,20 @@ class Stacker:
     ) -> DataFrame:
         """Predicted class per new row, as ``keys, predict``."""
         rows = materialize(fd.plain_folds(rows, keys, k=self.k))
-        base = [replace(s, patience=None) for s in self.base]
-        training = bo.train_boosted(rows, base, range(self.k), row_id=keys)
-        names = [f"_p_{i}" for i in range(len(training.models))]
+        fitted = [md.fit_folds(rows, settings, self.k, keys=keys) for settings in self.base]
+        models = [model for kind in fitted for model in kind]
+        names = [f"_p_{i}" for i in range(len(models))]
 
-        def labels(scored: DataFrame, kind: int) -> list[Column]:
+        def labels(kind: int) -> list[Column]:
             return [fx.argmax(F.col(names[kind * self.k + fold])) for fold in range(self.k)]
 
-        own = bo.predict_many(rows, training.models, names)
-        meta = own.select(*keys, "label", F.array(*[
-            F.element_at(F.array(*labels(own, i)), F.col("fold") + 1).cast("double")
-            for i in range(len(base))]).alias(bo.FEATURES))
-        new = bo.predict_many(new_rows.select(*keys, bo.FEATURES), training.models, names)
-        new_meta = new.select(*keys, F.array(*[
-            reduce(add, labels(new, i)) / F.lit(float(self.k)) for i in range(len(base))]).alias(bo.FEATURES))
-        final = bo.train_boosted(materialize(meta), [replace(self.final, patience=None)], [None], row_id=keys)
-        scored = bo.predict_boosted(new_meta, final.models[0])
+        own = bo.predict_many(rows, models, names)
+        meta = own.select(*keys, "label", array_to_vector(F.array(*[
+            F.element_at(F.array(*labels(i)), F.col("fold") + 1).cast("double")
+            for i in range(len(fitted))])).alias(md.FEATURES))
+        new = bo.predict_many(new_rows.select(*keys, md.FEATURES), models, names)
+        new_meta = new.select(*keys, array_to_vector(F.array(*[
+            reduce(add, labels(i)) / F.lit(float(self.k)) for i in range(len(fitted))])).alias(md.FEATURES))
+        final = md.fit_boosted(materialize(meta), self.final, keys=keys)
+        scored = md.predict_boosted(final, new_meta)
         return scored.select(*keys, fx.argmax(F.col("prob")).alias("predict"))
